@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import characters, grouped_splits
+from docflow.llm import characters, grouped_splits, leaks, token_ids
 from docflow.sources.tables import table
 
 
@@ -38,7 +38,23 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assignment(spark, sf_dir).groupBy("split", "source").agg(F.count("*").alias("n_pages"), F.countDistinct("volume").alias("n_volumes"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_assignment, p3_balance)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document."""
+    return token_ids.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items that they hold."""
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks by split of the items and source of the documents."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")
+    return leaks.report(leaks.leaked(documents, items), documents, items)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report)}
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
