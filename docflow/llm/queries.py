@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import characters, grouped_splits, leaks, token_ids
+from docflow.llm import characters, grouped_splits, leaks, overlaps, token_ids
 from docflow.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train sample and a val or test sample that are one record."""
+    pairs = overlaps.overlaps(table(spark, sf_dir, "region_samples"))
+    return pairs.select(F.least("train_id", "other_id").alias("sample_id_a"), F.greatest("train_id", "other_id").alias("sample_id_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping samples and pairs by split and source."""
+    samples = table(spark, sf_dir, "region_samples")
+    return overlaps.report(overlaps.overlaps(samples), samples, table(spark, sf_dir, "volumes"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose transcription isn't in the consistent form."""
     return characters.inconsistent(table(spark, sf_dir, "text_lines"))
@@ -54,7 +66,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(leaks.leaked(documents, items), documents, items)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report)}
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
