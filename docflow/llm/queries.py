@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import characters, grouped_splits, leaks, overlaps, token_ids
+from docflow.llm import characters, grouped_splits, leaks, overlaps, token_ids, truncation
 from docflow.sources.tables import table
 
 
@@ -66,7 +66,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(leaks.leaked(documents, items), documents, items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text stops within a word or sentence."""
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report, p8_found, p8_rates)}
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
