@@ -116,9 +116,9 @@ def judged(documents: DataFrame) -> DataFrame:
     read = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
-    totals = ends.where("state <> 'whole'").groupBy().agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula"))
-    share = F.when(F.col("state") == "unit", F.col("unit")).otherwise(F.col("formula"))
-    known = phrases.crossJoin(F.broadcast(totals)).where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
+    totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
+    share = F.when(F.col("state") == "unit", totals["unit"]).otherwise(totals["formula"])
+    known = phrases.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
     settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state")
     habit = settled.groupBy("source").agg(F.avg((F.col("state") == "whole").cast("double")).alias("terminated"))
     return settled.join(habit, "source").select("doc_id", "source", ((F.col("state") == "broken") | ((F.col("state") == "open") & (F.col("terminated") >= TERMINATED))).alias("truncated"))
