@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.plans import corpus
+from docflow.plans import catalogue, corpus
 
-QUERIES = {**corpus.QUERIES}
-ORACLE = {**corpus.ORACLE}
+QUERIES = {**catalogue.QUERIES, **corpus.QUERIES}
+ORACLE = {**catalogue.ORACLE, **corpus.ORACLE}
