@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -10,11 +12,11 @@ from pyspark.sql.types import StringType
 
 @F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
-    """Canonically composed text; null stays null."""
-    return pc.utf8_normalize(text, "NFC")
+    """Canonically composed text; null stays null. By unicodedata, as Arrow's NFC kernel leaves marks decomposed."""
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
 @F.arrow_udf(StringType())
 def nfd(text: pa.Array) -> pa.Array:
-    """Canonically decomposed text; null stays null."""
+    """Canonically decomposed text, by an Arrow kernel; null stays null."""
     return pc.utf8_normalize(text, "NFD")

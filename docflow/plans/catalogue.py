@@ -477,10 +477,10 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(records.last_checkpoint(rows, "model", "step").withColumnRenamed("step", "last"), "model")
 
 
-@query("""SELECT event_type AS model, event_id AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM events""")
+@query("""SELECT event_type AS model, event_id AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 8) AS running FROM events""")
 def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean loss so far (A10)."""
-    return records.running_mean(_checkpoints(spark, sf_dir), "model", "step", "loss").select("model", "step", _round("running", 6).alias("running"))
+    return records.running_mean(_checkpoints(spark, sf_dir), "model", "step", "loss").select("model", "step", _round("running", 8).alias("running"))
 
 
 @query("""SELECT event_type AS model, round(coalesce(sum(CASE WHEN event_id % 5 <> 0 THEN value END), 0) / count(*), 6) AS mean_loss FROM events GROUP BY event_type""")

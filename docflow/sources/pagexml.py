@@ -31,8 +31,8 @@ PAGE_XML = T.StructType([T.StructField("_imageFilename", T.StringType()), T.Stru
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """path, volume, img_filename and the Page element of every page of the files below path."""
-    raw = spark.read.format("xml").schema(PAGE_XML).option("rowTag", "Page").option("mode", "PERMISSIVE").option("nullValue", "\x00").option("recursiveFileLookup", "true").load(path)
-    file = F.input_file_name()
+    reader = spark.read.format("xml").schema(PAGE_XML).option("rowTag", "Page").option("mode", "PERMISSIVE").option("nullValue", "\x00").option("recursiveFileLookup", "true")
+    raw, file = reader.load(path).where("_imageFilename is not null or TextRegion is not null"), F.input_file_name()
     name = F.coalesce(stem(F.col("_imageFilename")), stem(file))
     return raw.select(file.alias("path"), volume(file).alias("volume"), name.alias("img_filename"), F.col("TextRegion").alias("regions"))
 

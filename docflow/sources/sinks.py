@@ -102,5 +102,12 @@ def page_xml(lines: DataFrame, page: str, region: str, order: str) -> DataFrame:
 
 
 def write_page_xml(pages: DataFrame, path: str) -> None:
-    """Page elements as text, many a file and one a line; a PcGts root isn't needed where readers cut at Page elements."""
-    pages.select(F.regexp_replace("xml", "\n", "&#10;").alias("value")).write.mode("overwrite").text(path)
+    """Page elements as XML documents, one a partition with its pages under one root; line breaks within texts become references."""
+
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["<PcGts>"]})
+        for batch in batches:
+            yield batch
+        yield pd.DataFrame({"value": ["</PcGts>"]})
+
+    pages.select(F.regexp_replace("xml", "\n", "&#10;").alias("value")).mapInPandas(document, "value string").write.mode("overwrite").text(path)
