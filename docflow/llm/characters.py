@@ -29,6 +29,8 @@ from pyspark.sql.types import BooleanType, StringType
 
 from docflow.functions.names import LOOKALIKES
 
+#: Characters of a batch that are taken apart at once; bounds the index arrays to some ten MB.
+SLICE_CHARS = 500_000
 #: Code points that the tables cover; all others stay as they are.
 _SIZE = 0x20000
 _LATIN, _FOREIGN, _LETTER, _MARK = 1, 2, 4, 8
@@ -83,6 +85,18 @@ def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray, np.nd
     return one, more, kind, alike, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), ccc, np.array(sorted(more), np.int64)
 
 
+def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts with at most so many characters, or one text each that has more."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts, low = [], 0
+    while low < len(texts):
+        done = int(sizes[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + chars, side="right")))
+        cuts.append((low, high))
+        low = high
+    return cuts
+
+
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of a string array and the number in each text."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -107,9 +121,19 @@ def _compose(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     _, _, _, _, keys, made, ccc, _ = _tables()
     small = np.minimum(points, _SIZE - 1)
     if len(points) and ccc[small].any():
-        # Canonical order: marks of one run by class, stable.
+        # A composed letter before a mark is taken apart, so that marks come into canonical order.
+        apart = np.flatnonzero(np.isin(points, made) & np.r_[(ccc[small[1:]] > 0) & (row[1:] == row[:-1]), False])
+        if len(apart):
+            texts = [unicodedata.normalize("NFD", chr(c)) for c in points[apart].tolist()]
+            more = [[ord(c) for c in t[1:]] for t in texts]
+            points = points.copy()
+            points[apart] = [ord(t[0]) for t in texts]
+            where = np.repeat(apart + 1, [len(m) for m in more])
+            points, row = np.insert(points, where, [c for m in more for c in m]), np.insert(row, where, row[where - 1])
+            small = np.minimum(points, _SIZE - 1)
+        # Marks of one run by class, stable.
         classes = ccc[small]
-        run = np.cumsum(classes == 0)
+        run = np.cumsum((classes == 0) | np.r_[True, row[1:] != row[:-1]])
         order = np.lexsort((classes, run))
         points, row = points[order], row[order]
         while True:
@@ -135,6 +159,25 @@ def _compose(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
             keep = np.ones(len(points), bool)
             keep[marks[where]] = False
             points, row = points[keep], row[keep]
+    return _compose_hangul(points, row)
+
+
+def _compose_hangul(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hangul letters composed by their rule: leading and vowel to a syllable, then a trailing letter to it."""
+    if not ((points >= 0x1100) & (points < 0x1200)).any():
+        return points, row
+    for step in (0, 1):
+        a, b = points[:-1], points[1:]
+        if step == 0:
+            hit = (a >= 0x1100) & (a < 0x1113) & (b >= 0x1161) & (b < 0x1176)
+            made = 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28
+        else:
+            hit = (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b < 0x11C3)
+            made = a + b - 0x11A7
+        hit &= row[:-1] == row[1:]
+        points = np.r_[np.where(hit, made, a), points[-1:]]
+        keep = ~np.r_[False, hit]
+        points, row = points[keep], row[keep]
     return points, row
 
 
@@ -155,6 +198,11 @@ def _words(points: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def consistent(texts: pa.Array) -> pa.Array:
     """The consistent form of each text of an Arrow array."""
+    parts = [_consistent(texts.slice(low, high - low)) for low, high in slices(texts)]
+    return pa.concat_arrays([p.cast(pa.string()) for p in parts]) if parts else texts.cast(pa.string())
+
+
+def _consistent(texts: pa.Array) -> pa.Array:
     one, more, *_, expands = _tables()
     valid = pc.is_valid(texts).to_numpy(zero_copy_only=False)
     points, lengths = code_points(texts)
@@ -200,7 +248,8 @@ def consistent_text(texts: pa.Array) -> pa.Array:
 def is_inconsistent(texts: pa.Array) -> pa.Array:
     """Whether a text isn't in the consistent form."""
     form = consistent(texts)
-    return pa.array(pc.fill_null(pc.not_equal(form, texts), False).to_numpy(zero_copy_only=False) | strangers(form))
+    mixed = np.concatenate([np.zeros(0, bool), *(strangers(form.slice(low, high - low)) for low, high in slices(form))])
+    return pa.array(pc.fill_null(pc.not_equal(form, texts), False).to_numpy(zero_copy_only=False) | mixed)
 
 
 def unify(lines: DataFrame, column: str = "transcription") -> DataFrame:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.characters import consistent
+from docflow.llm.characters import consistent, slices
 from docflow.session import small_rows
 
 #: Words in a row that make a leak.
@@ -41,7 +41,7 @@ MASKS = tuple((i, j) for j in range(2, SPAN) for i in range(1, j))
 BLOCK_WORDS = 200_000
 BLOCK_ROWS = 100_000
 #: Texts of this many characters are taken apart at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 _HYPHEN = regex.compile(r"(?<=\w)[-‐‑­¬⸗]\s+(?=\w)")
 _WORD = regex.compile(r"[^\W_]+(?:[:'’][^\W_]+)*")
@@ -177,9 +177,7 @@ def _search(items, key: str, run: int):
         index = SeedIndex(items.value)
         for batch in batches:
             texts = batch.column("text")
-            sizes = np.cumsum([len(t) if t else 0 for t in texts.to_pylist()])
-            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(sizes // SLICE_CHARS)) + 1, len(texts)])
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            for low, high in slices(texts, SLICE_CHARS):
                 at, item = index.found(words(texts.slice(low, high - low)), run)
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at + low)), pa.array(item)], names=[key, "item_id"])
 

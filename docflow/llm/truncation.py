@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.characters import consistent
+from docflow.llm.characters import consistent, slices
 from docflow.session import materialise
 
 #: Closing formulas of letters and records (fixed values); others are learnt.
@@ -35,7 +35,7 @@ LEAST_SHARE, LEAST_COUNT = 0.002, 3
 #: Share of whole texts from which a source is one that sets terminators.
 TERMINATED = 0.5
 #: Texts of this many characters are taken apart at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 _BROKEN = regex.compile(r"(?:…|\.\.+|�|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|&#?\w{0,8}|</?\w{0,12}|(?<=\p{L})[-‐¬])$")
 _WHOLE = regex.compile(r"[.!?]['\"’”“»)\]]*$")
@@ -97,17 +97,11 @@ def ending(text: str | None) -> tuple[str, str | None]:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, low = batch.column("text"), 0
-        sizes = [len(t) if t else 0 for t in texts.to_pylist()]
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and (high == low or size + sizes[high] <= SLICE_CHARS):
-                size += sizes[high]
-                high += 1
+        texts = batch.column("text")
+        for low, high in slices(texts, SLICE_CHARS):
             found = [ending(t) for t in consistent(texts.slice(low, high - low)).to_pylist()]
             part = batch.slice(low, high - low)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string())], names=["doc_id", "source", "state", "phrase"])
-            low = high
 
 
 def judged(documents: DataFrame) -> DataFrame:
