@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.session import pick
+
 #: Bytes of payload that are taken apart at once; bounds the index arrays to some hundred MB.
 SLICE_BYTES = 4 << 20
 
@@ -283,7 +285,7 @@ def nodes(annotations: DataFrame, values: bool = True) -> DataFrame:
     values: with the id and transcription of regions and lines and the coordinates of points. Copies of a page are
     settled by an aggregate with a partial step, so a page stored very often does not gather in one task.
     """
-    latest = annotations.groupBy("page_id").agg(F.max_by("payload", F.struct("loaded_at", "payload")).alias("payload"))
+    latest = pick(annotations, "page_id", "loaded_at", "payload").groupBy("page_id").agg(F.max_by("payload", F.struct("loaded_at", "payload")).alias("payload"))
     return latest.where("payload is not null").mapInArrow(_flatten_batches(values), DETAIL_SCHEMA if values else FOUND_SCHEMA)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Serialised size up to which a table may be broadcast or taken to the driver.
 BROADCAST_BYTES = 64 << 20
@@ -26,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, by exact spelling; of several columns of a name the first. Other columns, whatever their names, don't interfere."""
+    columns = df.columns
+    missing = [n for n in names if n not in columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.toDF(*(f"_{i}" for i in range(len(columns)))).select(*(F.col(f"_{columns.index(n)}").alias(n) for n in names))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts the lineage.
 
