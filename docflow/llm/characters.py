@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from docflow.functions.names import LOOKALIKES
+from docflow.session import pick
 
 #: Characters of a batch that are taken apart at once; bounds the index arrays to some ten MB.
 SLICE_CHARS = 500_000
@@ -254,10 +255,12 @@ def is_inconsistent(texts: pa.Array) -> pa.Array:
 
 def unify(lines: DataFrame, column: str = "transcription") -> DataFrame:
     """lines with the column in the consistent form."""
-    return lines.withColumn(column, consistent_text(F.col(column)))
+    names, at = lines.columns, lines.columns.index(column)
+    plain = lines.toDF(*(f"_{i}" for i in range(len(names))))
+    return plain.withColumn(f"_{at}", consistent_text(F.col(f"_{at}"))).toDF(*names)
 
 
 def inconsistent(lines: DataFrame, key: str = "line_pk", column: str = "transcription") -> DataFrame:
     """Keys of the rows whose text isn't in the consistent form. Plain ASCII texts are settled in the JVM before the Arrow pass."""
     beyond: Column = F.col(column).rlike(r"[^\x00-\x7f]")
-    return lines.where(beyond).select(key, column).where(is_inconsistent(F.col(column))).select(key)
+    return pick(lines, key, column).where(beyond).where(is_inconsistent(F.col(column))).select(key)

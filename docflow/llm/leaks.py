@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.characters import consistent, slices
-from docflow.session import small_rows
+from docflow.session import pick, small_rows
 
 #: Words in a row that make a leak.
 RUN = 15
@@ -186,8 +186,8 @@ def _search(items, key: str, run: int):
 
 def leaked(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, item_id of the documents that hold at least `run` words in a row of an item."""
-    spark = documents.sparkSession
-    sized = items.where("text is not null").select("item_id", "text")
+    spark, documents = documents.sparkSession, pick(documents, "doc_id", "text")
+    sized = pick(items, "item_id", "text").where("text is not null")
     total = sized.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words"), F.count("*").alias("rows")).first()
     blocks = max(1, math.ceil((total["words"] or 0) / BLOCK_WORDS), math.ceil(total["rows"] / BLOCK_ROWS * 2))
     found = None
@@ -195,12 +195,12 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
         rows = small_rows(sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block), BLOCK_ROWS, "items in a block")
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
         kind = documents.schema["doc_id"].dataType.simpleString()
-        part = documents.select("doc_id", "text").where("text is not null").mapInArrow(_search(shared, "doc_id", run), f"doc_id {kind}, item_id bigint")
+        part = documents.where("text is not null").mapInArrow(_search(shared, "doc_id", run), f"doc_id {kind}, item_id bigint")
         found = part if found is None else found.union(part)
     return found.distinct()
 
 
 def report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """Leaked items and affected documents by split of the items and source of the documents."""
-    pairs = found.join(items.select("item_id", "split"), "item_id").join(documents.select("doc_id", "source"), "doc_id")
+    pairs = found.join(pick(items, "item_id", "split"), "item_id").join(pick(documents, "doc_id", "source"), "doc_id")
     return pairs.groupBy("split", "source").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"))
