@@ -82,6 +82,11 @@ def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray, np.nd
     for source, target in LOOKALIKES.items():
         for a, b in zip(source, target, strict=True):
             alike[ord(a)] = ord(b)
+    for code in np.flatnonzero(kind & _FOREIGN).tolist():  # accented look-alikes
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        text = unicodedata.normalize("NFC", chr(alike[ord(base)]) + "".join(marks))
+        if marks and len(text) == 1:
+            alike[code] = ord(text)
     keys = np.array(sorted(pairs), np.int64)
     return one, more, kind, alike, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), ccc, np.array(sorted(more), np.int64)
 
@@ -221,7 +226,10 @@ def _consistent(texts: pa.Array) -> pa.Array:
     keep = points >= 0
     points, row = points[keep], row[keep]
     points, row = _compose(points, row)
-    return to_strings(_words(points, row), row, len(texts), valid)
+    settled = _words(points, row)
+    if settled is not points:
+        settled, row = _compose(settled, row)  # a mark may compose with the plain letter only
+    return to_strings(settled, row, len(texts), valid)
 
 
 def strangers(texts: pa.Array) -> np.ndarray:

@@ -75,10 +75,10 @@ def ending(text: str | None) -> tuple[str, str | None]:
     text = (text or "").strip()
     if not text:
         return "blank", None
-    if _BROKEN.search(text):
+    if _BROKEN.search(text) or _open_at_end(text):
         return "broken", None
     if _WHOLE.search(text):
-        return ("broken" if _open_at_end(text) else "whole"), None
+        return "whole", None
     lines = [line for line in (" ".join(x.split()) for x in _LINES.split(text)) if line]
     last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
     if m := _ENTRY.fullmatch(last):
@@ -106,8 +106,8 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source and truncated for every document that isn't blank."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
     read = pick(documents, "doc_id", "source", "text").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
+    kind = read.schema["doc_id"].dataType.simpleString()
     ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
     totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
