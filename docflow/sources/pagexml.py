@@ -32,7 +32,7 @@ PAGE_XML = T.StructType([T.StructField("_imageFilename", T.StringType()), T.Stru
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """path, volume, img_filename and the Page element of every page of the files below path."""
     reader = spark.read.format("xml").schema(PAGE_XML).option("rowTag", "Page").option("mode", "PERMISSIVE").option("nullValue", "\x00").option("recursiveFileLookup", "true")
-    raw, file = reader.load(path).where("_imageFilename is not null or TextRegion is not null"), F.input_file_name()
+    raw, file = reader.load(path).where("_imageFilename is not null or TextRegion is not null"), F.col("_metadata.file_path")
     name = F.coalesce(stem(F.col("_imageFilename")), stem(file))
     return raw.select(file.alias("path"), volume(file).alias("volume"), name.alias("img_filename"), F.col("TextRegion").alias("regions"))
 
@@ -84,5 +84,5 @@ def regions_with_lines(pages: DataFrame) -> DataFrame:
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """Paths of files below path that hold no page."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("path"))
     return files.join(read_xml(spark, path).select("path").distinct(), "path", "left_anti")
