@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,22 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's source to the workers once an application, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="docflow-")) / "docflow.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where the session sets it, else one of our own (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
