@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docflow.functions import geometry as G
 from docflow.functions import ratios as R
 from docflow.operators import layout, metrics, records, splits
-from docflow.session import shared_dir
+from docflow.session import shared_dir, spread
 from docflow.sources import files, pagexml, sinks
 from docflow.sources.tables import table
 
@@ -38,7 +38,8 @@ def query(sql: str | None = None) -> Callable:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_pk, page, volume, region_id, line_id, key, box, polygon, transcription."""
     t = table(spark, sf_dir, "text_lines")
-    return t.select("line_pk", F.col("img_filename").alias("page"), F.col("img_volume").alias("volume"), "region_id", "line_id", F.col("unique_key").alias("key"), F.col("bbox").alias("box"), "polygon", "transcription")
+    lines = t.select("line_pk", F.col("img_filename").alias("page"), F.col("img_volume").alias("volume"), "region_id", "line_id", F.col("unique_key").alias("key"), F.col("bbox").alias("box"), "polygon", "transcription")
+    return spread(lines, "page")
 
 
 def _ascii(text: Column) -> Column:

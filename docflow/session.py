@@ -54,6 +54,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"_{i}" for i in range(len(columns)))).select(*(F.col(f"_{columns.index(n)}").alias(n) for n in names))
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with at least a partition for each core, hashed by keys if given; one that has them is left as it is.
+
+    Only for scans and narrow steps on them: small files would otherwise put costly expressions into one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts the lineage.
 
