@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.characters import consistent, slices
-from docflow.session import pick, small_rows
+from docflow.session import pick, small_rows, spread
 
 #: Words in a row that make a leak.
 RUN = 15
@@ -186,7 +186,7 @@ def _search(items, key: str, run: int):
 
 def leaked(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, item_id of the documents that hold at least `run` words in a row of an item."""
-    spark, documents = documents.sparkSession, pick(documents, "doc_id", "text")
+    spark, documents = documents.sparkSession, spread(pick(documents, "doc_id", "text"))
     sized = pick(items, "item_id", "text").where("text is not null")
     total = sized.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words"), F.count("*").alias("rows")).first()
     blocks = max(1, math.ceil((total["words"] or 0) / BLOCK_WORDS), math.ceil(total["rows"] / BLOCK_ROWS * 2))

@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docflow.session import pick
+from docflow.session import pick, spread
 
 #: Where the public vocabularies lie; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -150,5 +150,5 @@ def _encoder(key: str, text: str, path: str):
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """key, ids of each document as stored, without special tokens."""
-    kept = pick(documents, key, text)
+    kept = spread(pick(documents, key, text))
     return kept.mapInArrow(_encoder(key, text, path), f"{key} {kept.schema[key].dataType.simpleString()}, ids array<int>")

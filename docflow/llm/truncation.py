@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.characters import consistent, slices
-from docflow.session import materialise, pick
+from docflow.session import materialise, pick, spread
 
 #: Closing formulas of letters and records (fixed values); others are learnt.
 FORMULAS = (
@@ -106,7 +106,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source and truncated for every document that isn't blank."""
-    read = pick(documents, "doc_id", "source", "text").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
+    read = spread(pick(documents, "doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     kind = read.schema["doc_id"].dataType.simpleString()
     ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
