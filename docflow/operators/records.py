@@ -16,12 +16,20 @@ IMAGE_SUFFIXES = (
 LINE_CLASS, REGION_CLASS, BOX_CLASS = "textline", "textregion", "line_bbox"
 #: Task prompts of the vision-language model (fixed values).
 TASKS = {
-    "caption": "<CAPTION>", "detailed_caption": "<DETAILED_CAPTION>", "more_detailed_caption": "<MORE_DETAILED_CAPTION>",
-    "od": "<OD>", "dense_region_caption": "<DENSE_REGION_CAPTION>", "region_proposal": "<REGION_PROPOSAL>",
-    "phrase_grounding": "<CAPTION_TO_PHRASE_GROUNDING>", "expression_segmentation": "<REFERRING_EXPRESSION_SEGMENTATION>",
-    "region_to_segmentation": "<REGION_TO_SEGMENTATION>", "open_vocabulary": "<OPEN_VOCABULARY_DETECTION>",
-    "region_to_category": "<REGION_TO_CATEGORY>", "region_to_description": "<REGION_TO_DESCRIPTION>", "ocr": "<OCR>", "ocr_with_region": "<OCR_WITH_REGION>",
-}
+    "od": "<OD>",
+    "dense_region_caption": "<DENSE_REGION_CAPTION>",
+    "caption": "<CAPTION>",
+    "detailed_caption": "<DETAILED_CAPTION>",
+    "more_detailed_caption": "<MORE_DETAILED_CAPTION>",
+    "region_proposal": "<REGION_PROPOSAL>",
+    "phrase_grounding": "<CAPTION_TO_PHRASE_GROUNDING>",
+    "expression_segmentation": "<REFERRING_EXPRESSION_SEGMENTATION>",
+    "region_to_segmentation": "<REGION_TO_SEGMENTATION>",
+    "open_vocabulary": "<OPEN_VOCABULARY_DETECTION>",
+    "region_to_description": "<REGION_TO_DESCRIPTION>",
+    "ocr": "<OCR>",
+    "ocr_with_region": "<OCR_WITH_REGION>",
+}
 
 
 def suffix(path: Column) -> Column:
