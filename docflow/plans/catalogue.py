@@ -634,6 +634,51 @@ def region_samples_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", "region_id", F.size("annotations").alias("n"), total.alias("sum_x1"), F.col("annotations")[0]["class"].alias("class"))
 
 
+def _dataset(name: str, sql: str) -> None:
+    """A query of a dataset variant: keys and annotations of its samples."""
+    from docflow.plans import datasets
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = _lines(spark, sf_dir).withColumnRenamed("line_pk", "position")
+        rows = datasets.build(name, lines)
+        n = F.size("annotations") if "annotations" in rows.columns else F.size("crop")
+        return rows.select("unique_key", "img_filename", n.alias("n"))
+
+    run.__name__ = run.__qualname__ = f"dataset_{name}"
+    run.__doc__ = f"Samples of {name} (G5, D5)."
+    query(sql)(run)
+
+
+_NUMBERED = """SELECT concat(CASE WHEN img_volume IS NULL THEN '' ELSE concat(img_volume, '_') END, img_filename) AS k, img_filename, line_pk, transcription, CAST({} AS INT) AS n FROM text_lines WHERE polygon IS NOT NULL"""
+_GAPPED = "SELECT unique_key, img_filename, n FROM (SELECT *, concat(k, '_', printf('%04d', row_number() OVER (PARTITION BY k ORDER BY line_pk) - 1)) AS unique_key FROM ({})) WHERE transcription <> ''"
+_INSIDE = """WITH r AS (SELECT img_filename, region_id, min(line_pk) AS f FROM text_lines WHERE region_id IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, concat(img_filename, '_', printf('%04d', row_number() OVER (PARTITION BY img_filename ORDER BY f, region_id) - 1)) AS unique_key FROM r)
+SELECT k.unique_key AS unique_key, img_filename, CAST(count(*) AS INT) AS n FROM k JOIN text_lines t USING (img_filename, region_id) WHERE polygon IS NOT NULL GROUP BY 1, 2"""
+_WHOLE = """SELECT img_filename AS unique_key, img_filename, CAST(sum(n) AS INT) AS n FROM ({}) GROUP BY img_filename"""
+_LINE_ROWS = "SELECT img_filename, count(*) AS n FROM text_lines WHERE polygon IS NOT NULL GROUP BY 1"
+_REGION_ROWS = "SELECT img_filename, count(DISTINCT region_id) AS n FROM text_lines WHERE region_id IS NOT NULL GROUP BY 1"
+
+for _name, _sql in (
+    ("text_recognition__line_seg", _GAPPED.format(_NUMBERED.format("len(polygon)"))),
+    ("text_recognition__line_bbox", _GAPPED.format(_NUMBERED.format("4"))),
+    ("inst_seg_lines_within_regions", _INSIDE),
+    ("line_od_within_regions", _INSIDE),
+    ("inst_seg_regions_and_lines", _WHOLE.format(f"{_LINE_ROWS} UNION ALL {_REGION_ROWS}")),
+    ("inst_seg_lines", _WHOLE.format(_LINE_ROWS)),
+    ("inst_seg_regions", _WHOLE.format(_REGION_ROWS)),
+):
+    _dataset(_name, _sql)
+
+
+@query("""SELECT line_pk FROM text_lines WHERE len(polygon) >= 3""")
+def line_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut from drawn page images; a line off the drawing would be missing."""
+    from docflow.operators import crops
+
+    lines = _lines(spark, sf_dir).where(F.size("polygon") >= 3).select("page", "line_pk", "polygon")
+    small = lines.withColumn("polygon", F.transform("polygon", lambda p: F.struct((p["x"] / 10).cast("int").alias("x"), (p["y"] / 10).cast("int").alias("y"))))
+    return crops.crop_images(crops.page_images(lines, width=400, height=800), small).where("image is not null").select("line_pk")
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
 

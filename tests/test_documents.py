@@ -129,3 +129,38 @@ def test_stream_resumes(spark, tmp_path) -> None:
     assert sorted((r["page"], r["n"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 2), ("b", 5), ("b", 5)]
     events = spark.sql("SELECT timestamp'2020-01-01 00:00:10' AS ts, 'a' AS kind UNION ALL SELECT timestamp'2020-01-01 00:00:50', 'a'")
     assert [r["n"] for r in pages.windowed_counts(events, "ts", "kind", "1 minute", "1 minute").collect()] == [2]
+
+
+def test_png_and_crops(spark) -> None:
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from docflow.functions import png
+    from docflow.operators import crops
+
+    rng = np.random.default_rng(1)
+    for shape in ((5, 7), (4, 6, 3), (3, 3, 4)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert np.array_equal(png.decode(png.encode(image)), image)
+    # One row for each of the format's filters over a known picture of 2 channels' width 3.
+    want = rng.integers(0, 256, (5, 3, 3)).astype(np.uint8)
+    flat, rows = want.reshape(5, 9).astype(int), []
+    for y, kind in enumerate(range(5)):
+        up = flat[y - 1] if y else np.zeros(9, int)
+        left, corner = np.r_[0, 0, 0, flat[y][:-3]], np.r_[0, 0, 0, up[:-3]]
+        guess = left + up - corner
+        paeth = np.where((abs(guess - left) <= abs(guess - up)) & (abs(guess - left) <= abs(guess - corner)), left, np.where(abs(guess - up) <= abs(guess - corner), up, corner))
+        rows.append(bytes([kind]) + ((flat[y] - [0, left, up, (left + up) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes())
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + b"\0\0\0\0"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert np.array_equal(png.decode(data), want)
+
+    image = np.arange(100, dtype=np.uint8).reshape(10, 10)
+    cut = crops.crop(image, np.array([[2, 3], [2, 5], [6, 3]]))
+    assert cut.shape == (3, 5) and cut[0, 0] == 32 and cut[2, 4] == 255
+    pages_ = spark.createDataFrame([("p", bytearray(png.encode(image))), ("q", bytearray(b"x")), ("r", None)], "page string, image binary")
+    polygons = spark.createDataFrame([("p", 1, [(0, 0), (0, 3), (3, 3), (3, 0)]), ("p", 2, [(50, 50), (50, 60), (60, 60)]), ("q", 3, [(0, 0), (0, 1), (1, 1)]), ("r", 4, None)], "page string, k int, polygon array<struct<x:int,y:int>>")
+    got = {r["k"]: r["image"] for r in crops.crop_images(pages_, polygons).collect()}
+    assert np.array_equal(png.decode(bytes(got[1])), image[:4, :4]) and got[2] is got[3] is got[4] is None
