@@ -203,7 +203,18 @@ def _words(points: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def consistent(texts: pa.Array) -> pa.Array:
-    """The consistent form of each text of an Arrow array."""
+    """The consistent form of each text of an Arrow array. Texts of plain signs only (_ODD) are settled by one regular expression."""
+    odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False)
+    if not pc.any(odd).as_py():
+        return texts.cast(pa.string())
+    return pc.replace_with_mask(texts.cast(pa.string()), odd, _consistent_slices(texts.filter(odd)))
+
+
+#: Signs that may have another form: all but composed Latin ones.
+_ODD = r"[^\x00-\x{9f}\x{a1}-\x{ac}\x{ae}-\x{24f}]"
+
+
+def _consistent_slices(texts: pa.Array) -> pa.Array:
     parts = [_consistent(texts.slice(low, high - low)) for low, high in slices(texts)]
     return pa.concat_arrays([p.cast(pa.string()) for p in parts]) if parts else texts.cast(pa.string())
 

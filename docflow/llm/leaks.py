@@ -21,12 +21,12 @@ Very long texts are whole. Repeated items or documents give one row for each pai
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +43,15 @@ BLOCK_ROWS = 100_000
 #: Texts of this many characters are taken apart at once.
 SLICE_CHARS = 1_000_000
 
-_HYPHEN = regex.compile(r"(?<=\w)[-‐‑­¬⸗]\s+(?=\w)")
-_WORD = regex.compile(r"[^\W_]+(?:[:'’][^\W_]+)*")
-_INNER = str.maketrans("", "", ":'’")
+_HYPHEN = re.compile(r"(?<=\w)[-‐‑\xad¬⸗]\s+(?=\w)")
+_INNER = re.compile(r"(?<=\w)[:'’](?=\w)")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words(texts: pa.Array) -> list[list[str]]:
     """The words of each text, in one form."""
-    joined = pa.array([None if t is None else _HYPHEN.sub("", t) for t in texts.to_pylist()], pa.string())
-    return [[] if t is None else [w.translate(_INNER) for w in _WORD.findall(t.casefold())] for t in consistent(joined).to_pylist()]
+    joined = pa.array([t and _HYPHEN.sub("", t) for t in texts.to_pylist()], pa.string())
+    return [_WORD.findall(_INNER.sub("", t.casefold())) if t else [] for t in consistent(joined).to_pylist()]
 
 
 @lru_cache(1 << 20)
@@ -163,13 +163,15 @@ class SeedIndex:
 
 def _shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Length and letters (by code point modulo 64) of each word: one letter's difference changes the one by 1 and the other by two bits at most."""
-    masks = np.zeros(len(texts), np.uint64)
-    for k, w in enumerate(texts):
-        bits = 0
-        for c in w:
-            bits |= 1 << (ord(c) & 63)
-        masks[k] = bits
-    return np.array([len(w) for w in texts], np.int64), masks
+    return np.array([len(w) for w in texts], np.int64), np.array([_letters(w) for w in texts], np.uint64)
+
+
+@lru_cache(1 << 20)
+def _letters(word: str) -> int:
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
 
 
 def _search(items, key: str, run: int):
