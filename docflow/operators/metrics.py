@@ -61,7 +61,8 @@ def detection_scores(annotations: DataFrame, detections: DataFrame, page: str, k
     m = matched_annotations(annotations, detections, page, least).agg(F.count("*").alias("n_found"))
     d = detections.agg(F.count("*").alias("n_detections"))
     k = matched_annotations(detections, annotations, page, least).agg(F.count("*").alias("n_correct"))
-    one = n.join(m, how="cross").join(d, how="cross").join(k, how="cross")  # single rows
+    every = n.unionByName(m, True).unionByName(d, True).unionByName(k, True)
+    one = every.agg(*(F.max(c).alias(c) for c in ("n_annotations", "n_found", "n_detections", "n_correct")))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     recall, precision = share("n_found", "n_annotations"), share("n_correct", "n_detections")
     mean = lambda p, r: F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))

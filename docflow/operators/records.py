@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import geometry as G
+from docflow.session import materialise
 
 #: Image suffixes that a scan takes, as spelled (fixed values).
 IMAGE_SUFFIXES = (
@@ -132,13 +133,22 @@ def strip_padding(text: Column) -> Column:
     return F.replace(text, F.lit("<pad>"), F.lit(""))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """index of each row in the order and _total. Rows are cut into ranges and numbered within them, so no task sees all."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # A row a partition.
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    found = ranged.withColumn("_local", local).join(F.broadcast(before), "_range")
+    return found.withColumn("index", (F.col("_before") + F.col("_local")).cast("int")).drop("_range", "_local", "_before")
+
+
 def select_rows(rows: DataFrame, order: list[str], start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
     """Rows start, start + step ... below stop of the order; without stop the last row is left out, as counted from the end by -1."""
-    numbered = rows.withColumn("index", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    n = F.count("*").over(Window.partitionBy())
     low, high, by = start or 0, -1 if stop is None else stop, step or 1
-    end = F.lit(high) if high >= 0 else n + high
-    return numbered.withColumn("_end", end).where((F.col("index") >= low) & (F.col("index") < F.col("_end")) & ((F.col("index") - low) % by == 0)).drop("_end")
+    end = F.lit(high) if high >= 0 else F.col("_total") + high
+    return numbered(rows, order).where((F.col("index") >= low) & (F.col("index") < end) & ((F.col("index") - low) % by == 0)).drop("_total")
 
 
 def batches(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:

@@ -18,18 +18,18 @@ def draw(key: str, seed: int) -> Column:
 
 
 def _ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """rank (from 1) of each row by digest, over all rows: counts of the digest's first two digits give each slice's offset, so no task ranks all."""
-    drawn = rows.withColumn("_draw", draw(key, seed)).withColumn("_slice", F.substring("_draw", 1, 2))
+    """rank (from 1) of each row by digest and _total, over all rows: counts by the digest's first three digits give each slice's offset, so no task ranks all."""
+    drawn = rows.withColumn("_draw", draw(key, seed)).withColumn("_slice", F.substring("_draw", 1, 3))
     counts = drawn.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))  # at most 256 rows
+    # At most 4,096 rows.
+    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     local = F.row_number().over(Window.partitionBy("_slice").orderBy("_draw", key))
     return drawn.withColumn("_local", local).join(F.broadcast(before), "_slice").withColumn("rank", F.col("_before") + F.col("_local")).drop("_draw", "_slice", "_local", "_before")
 
 
 def mixed(pages: DataFrame, key: str, seed: int = 42, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """split of every page: the first ceil(test n) by rank are test, the next ceil(val rest) val, the others train."""
-    n = pages.agg(F.count("*").alias("_total"))
-    ranked = _ranked(pages, key, seed).join(F.broadcast(n), how="cross")  # one row
+    ranked = _ranked(pages, key, seed)
     cut = F.ceil(F.col("_total") * F.lit(test))
     split = F.when(F.col("rank") <= cut, "test").when(F.col("rank") <= cut + F.ceil((F.col("_total") - cut) * F.lit(val)), "val").otherwise("train")
     return ranked.withColumn("split", split).drop("rank", "_total")
@@ -39,13 +39,13 @@ def by_source(pages: DataFrame, key: str, source: str, train_sources: tuple[str,
     """Test sources whole in test; of the train sources ceil(val n) pages in val; pages of other sources are left out."""
     test = pages.where(F.col(source).isin(*test_sources)).withColumn("split", F.lit("test"))
     rest = pages.where(F.col(source).isin(*train_sources))
-    ranked = _ranked(rest, key, seed).join(F.broadcast(rest.agg(F.count("*").alias("_total"))), how="cross")  # one row
+    ranked = _ranked(rest, key, seed)
     return ranked.withColumn("split", F.when(F.col("rank") <= F.ceil(F.col("_total") * F.lit(val)), "val").otherwise("train")).drop("rank", "_total").unionByName(test)
 
 
 def by_counts(rows: DataFrame, key: str, train: float = 0.7, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """floor(train n) in train, floor(val n) in val, and the larger of the rest and floor(test n) in test."""
-    ranked = _ranked(rows, key, seed).join(F.broadcast(rows.agg(F.count("*").alias("_total"))), how="cross")  # one row
+    ranked = _ranked(rows, key, seed)
     a = F.floor(F.col("_total") * F.lit(train))
     b = a + F.floor(F.col("_total") * F.lit(val))
     last = b + F.greatest(F.col("_total") - b, F.floor(F.col("_total") * F.lit(test)))
