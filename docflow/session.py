@@ -57,8 +57,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """A scan with at least a partition for each core, hashed by keys if given; one that has them is left as it is.
 
-    Only for scans and narrow steps on them: small files would otherwise put costly expressions into one task.
+    Only scans and narrow steps on them are touched: small files would otherwise put costly expressions into one task.
     """
+    if scan._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it has exchanges, which asking for partitions would run
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
