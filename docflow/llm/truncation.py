@@ -3,8 +3,9 @@
 A structural completeness check. A stack automaton runs over the text's brackets, quotes and markup; the end of the
 text is then read for broken escapes, entities, multibyte sequences and marks of omission, for a terminator, and, where
 there is none, for a whole closing: a list's entry, a sum, place and date, a signature, a formula. Closings whose
-vocabulary the corpus itself shows (units of sums, formulas) are held against their frequency in the corpus, and a
-missing terminator counts only in sources that as a rule set them.
+vocabulary the corpus itself shows (units of sums, formulas) are held against their frequency in the corpus. A missing
+terminator counts in every text that ends a sentence before, and else in sources whose texts as a rule have terminators
+anywhere, so that cut texts don't count against their source; small sources follow the corpus.
 
 Scale: one Arrow pass over the texts emits a few bytes a document; the baselines are partial aggregates of that narrow
 table, written once to the shared folder, by unit, formula and source.
@@ -32,13 +33,16 @@ FORMULAS = (
 )
 #: A unit or formula is the corpus's own from this share of such endings on, and from so many texts on.
 LEAST_SHARE, LEAST_COUNT = 0.002, 3
-#: Share of whole texts from which a source is one that sets terminators.
+#: Share of texts that are whole or end a sentence within from which a source is one that sets terminators.
 TERMINATED = 0.5
+#: Texts from which a source has a habit of its own.
+LEAST_TEXTS = 10
 #: Texts of this many characters are taken apart at once.
 SLICE_CHARS = 1_000_000
 
 _BROKEN = regex.compile(r"(?:…|\.\.+|�|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|&#?\w{0,8}|</?\w{0,12}|(?<=\p{L})[-‐¬])$")
 _WHOLE = regex.compile(r"[.!?]['\"’”“»)\]]*$")
+_SENTENCE = regex.compile(r"\p{Ll}{2}[.!?]['\"’”“»)\]]*\s+\p{Lu}")
 _LINES = regex.compile(r"[\r\n]+")
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _ENTRY = regex.compile(r"\d+ \S.*, \d+ (?P<unit>\p{L}[\p{L} ]*)")
@@ -99,23 +103,29 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for low, high in slices(texts, SLICE_CHARS):
-            found = [ending(t) for t in consistent(texts.slice(low, high - low)).to_pylist()]
+            plain = consistent(texts.slice(low, high - low)).to_pylist()
+            found = [ending(t) for t in plain]
+            sets = [s == "whole" or bool(t and _SENTENCE.search(t)) for t, (s, _) in zip(plain, found, strict=True)]
             part = batch.slice(low, high - low)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string())], names=["doc_id", "source", "state", "phrase"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string()), pa.array(sets, pa.bool_())], names=["doc_id", "source", "state", "phrase", "sets"])
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source and truncated for every document that isn't blank."""
     read = spread(pick(documents, "doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     kind = read.schema["doc_id"].dataType.simpleString()
-    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string").where("state <> 'blank'"), "endings")
+    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
     totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
     share = F.when(F.col("state") == "unit", totals["unit"]).otherwise(totals["formula"])
     known = phrases.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
-    settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state")
-    habit = settled.groupBy("source").agg(F.avg((F.col("state") == "whole").cast("double")).alias("terminated"))
-    return settled.join(habit, "source").select("doc_id", "source", ((F.col("state") == "broken") | ((F.col("state") == "open") & (F.col("terminated") >= TERMINATED))).alias("truncated"))
+    settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state", "sets")
+    terminators = (F.col("sets") | (F.col("state") == "whole")).cast("long")
+    habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.sum(terminators).alias("n_set"))
+    corpus = habit.agg((F.sum("n_set") / F.sum("n")).alias("usual"))
+    habit = habit.crossJoin(corpus).select("source", F.when(F.col("n") >= LEAST_TEXTS, F.col("n_set") / F.col("n")).otherwise(F.col("usual")).alias("terminated"))
+    cut = (F.col("state") == "broken") | ((F.col("state") == "open") & (F.col("sets") | (F.col("terminated") >= TERMINATED)))
+    return settled.join(habit, "source").select("doc_id", "source", cut.alias("truncated"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -41,3 +41,8 @@ def test_documents(spark) -> None:
 def test_a_source_without_terminators(spark) -> None:
     texts = ["utan punkt alls"] * 5 + ["utan punkt al�"]
     assert [r[0] for r in X.truncated(rows(spark, texts)).collect()] == [5]
+
+
+def test_sources_of_mostly_cut_texts_and_small_ones(spark) -> None:
+    texts = [(BODY, "a")] * 20 + [(BODY, "cut")] * 2 + [(BODY + " Men när borgaren", "cut")] * 10 + [("Korpralen gick till", "one"), (BODY + " Och", "two"), ("utan punkt", "two")]
+    assert sorted(r[0] for r in X.truncated(rows(spark, texts)).collect()) == list(range(22, 35))
