@@ -43,15 +43,17 @@ BLOCK_ROWS = 100_000
 #: Texts of this many characters are taken apart at once.
 SLICE_CHARS = 1_000_000
 
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑\xad¬⸗]\s+(?=\w)")
+_HYPHEN = re.compile(r"(?<=[\w\u0300-\u036f])[-‐‑¬⸗]\s+(?=\w)")
+#: Soft hyphens before white space, invisible signs aside; the consistent form would drop them.
+_SOFT = re.compile(r"(?<![-‐‑¬⸗\xad])\xad(?=[\xad\u200b-\u200f\u2060-\u2064\ufeff]*\s)")
 _INNER = re.compile(r"(?<=\w)[:'’](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(texts: pa.Array) -> list[list[str]]:
     """The words of each text, in one form."""
-    joined = pa.array([t and _HYPHEN.sub("", t) for t in texts.to_pylist()], pa.string())
-    return [_WORD.findall(_INNER.sub("", t.casefold())) if t else [] for t in consistent(joined).to_pylist()]
+    kept = pa.array([_SOFT.sub("-", t) if t and "\xad" in t else t for t in texts.to_pylist()], pa.string())
+    return [_WORD.findall(_INNER.sub("", _HYPHEN.sub("", t).casefold())) if t else [] for t in consistent(kept).to_pylist()]
 
 
 @lru_cache(1 << 20)

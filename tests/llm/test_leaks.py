@@ -83,3 +83,8 @@ def test_items_in_blocks(spark, monkeypatch) -> None:
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     docs = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(map(tuple, K.leaked(docs, items).collect())) == [(k, k) for k in range(9)]
+
+
+def test_hyphens_at_line_ends_after_any_form_of_a_letter() -> None:
+    texts = ["ga\u030a-\nrden", "gå-\u200b\nrden", "gå\xad\nrden", "ga\u030a\xad\u200b\r\nrden", "gå-\xad\nrden", "gå\xadrden", "gå¬\nrden"]
+    assert K.words(pa.array(texts)) == [["gården"]] * len(texts)
