@@ -1,11 +1,13 @@
 """Texts cut off by field limits or broken transfers (problem 8).
 
-A structural completeness check. A stack automaton runs over the text's brackets, quotes and markup; the end of the
-text is then read for broken escapes, entities, multibyte sequences and marks of omission, for a terminator, and, where
-there is none, for a whole closing: a list's entry, a sum, place and date, a signature, a formula. Closings whose
-vocabulary the corpus itself shows (units of sums, formulas) are held against their frequency in the corpus. A missing
-terminator counts in every text that ends a sentence before, and else in sources whose texts as a rule have terminators
-anywhere, so that cut texts don't count against their source; small sources follow the corpus.
+A structural completeness check. A stack automaton runs over the whole text and reports every bracket, quote and tag
+that is left open and whether the last sentence opened it. The end of the text is then read for broken escapes,
+entities, multibyte sequences and marks of omission, for a terminator, and, where there is none, for a whole closing: a
+list's entry, a sum, place and date, a signature, a formula. Three baselines of the corpus and of each source decide what
+the text alone can't: closings whose vocabulary the corpus shows (units of sums, formulas) are held against their
+frequency; a missing terminator counts in every text that ends a sentence before, and else in sources whose texts as a
+rule have terminators anywhere; signs left open by a text that ends whole otherwise count in sources that as a rule close
+them. So cut texts don't count against their source, and small sources follow the corpus.
 
 Scale: one Arrow pass over the texts emits a few bytes a document; the baselines are partial aggregates of that narrow
 table, written once to the shared folder, by unit, formula and source.
@@ -35,12 +37,14 @@ FORMULAS = (
 LEAST_SHARE, LEAST_COUNT = 0.002, 3
 #: Share of texts that are whole or end a sentence within from which a source is one that sets terminators.
 TERMINATED = 0.5
+#: Share of the texts with brackets, quotes or tags that end whole and close all of them from which a source is one that closes its signs.
+CLOSED = 0.95
 #: Texts from which a source has a habit of its own.
 LEAST_TEXTS = 10
 #: Texts of this many characters are taken apart at once.
 SLICE_CHARS = 1_000_000
 
-_BROKEN = regex.compile(r"(?:…|\.\.+|�|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|&#?\w{0,8}|</?\w{0,12}|(?<=\p{L})[-‐¬])$")
+_BROKEN = regex.compile(r"(?:…|\.\.+|�|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|&#?\w{0,8}|</?\w{0,12}|(?<=\p{L})[-‐¬]|(?<=\p{L})(?:%\p{AHex}?|=\p{AHex}{0,1}|(?:%\p{AHex}{2})*%\p{AHex}?|[ÃÂ]|â€?))$")
 _WHOLE = regex.compile(r"[.!?]['\"’”“»)\]]*$")
 _SENTENCE = regex.compile(r"\p{Ll}{2}[.!?]['\"’”“»)\]]*\s+\p{Lu}")
 _LINES = regex.compile(r"[\r\n]+")
@@ -49,39 +53,70 @@ _ENTRY = regex.compile(r"\d+ \S.*, \d+ (?P<unit>\p{L}[\p{L} ]*)")
 _SUM = regex.compile(r"(?:\p{Lu}\p{Ll}+) \d+ (?P<unit>\p{L}[\p{L} ]*)")
 _DATE = regex.compile(rf"(?:{_NAME} )+den \d{{1,2}} {_NAME} \d{{4}}")
 _SIGNED = regex.compile(rf"{_NAME}(?: {_NAME}){{1,3}}(?:, \p{{Ll}}\p{{L}}+)?")
-_STACK = regex.compile(r"[(\[{)\]}„«»<>]|[.!?](?=\s+\p{Lu})")
-_CLOSE = {")": "(", "]": "[", "}": "{", "»": "«", ">": "<"}
+_SIGNS = regex.compile(r"[()\[\]{}„“”\"«»‹›]|<(?P<end>/?)(?P<name>\p{L}[\w:.-]*)(?P<rest>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)(?P<stop>>?)")
+_BOUNDARY = regex.compile(r"[.!?]['\"’”“»)\]]*\s+['\"„“”»«(\[]*\p{Lu}")
+_BRACKETS = {")": "(", "]": "[", "}": "{"}
+#: Quotes by family; languages open and close with either, so a sign closes what its family has open and else opens. Only „ always opens.
+_QUOTES = {"„": '"', "“": '"', "”": '"', '"': "'", "«": "«", "»": "«", "‹": "‹", "›": "‹"}
+#: Elements without an end (fixed values of HTML and TEI).
+_VOID = {"br", "hr", "img", "wbr", "meta", "link", "input", "lb", "pb", "cb", "gap", "space", "milestone", "graphic"}
 
 
-def _open_at_end(text: str) -> bool:
-    """The stack automaton: whether a bracket, quote or tag that the last sentence opens is left open."""
-    stack: list[str] = []
-    for m in _STACK.finditer(text):
+def open_signs(text: str) -> list[tuple[str, int]]:
+    """The stack automaton: brackets, quotes and tags that the text opens and never closes, with their places.
+
+    A closing sign closes the nearest open one of its kind and drops what that encloses; one without a partner is passed over.
+    """
+    stack: list[tuple[str, int]] = []
+
+    def close(kind: str) -> bool:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == kind:
+                del stack[i:]
+                return True
+        return False
+
+    for m in _SIGNS.finditer(text):
         sign = m.group()
-        if sign in ".!?":
-            stack.clear()
-        elif sign in _CLOSE:
-            if sign == "»" and "«" not in stack:
-                continue
-            while stack and stack.pop() != _CLOSE[sign]:
-                pass
-        elif sign != "„":
-            stack.append(sign)
-    return bool(stack)
+        if sign[0] == "<":
+            name = "<" + m["name"].lower()
+            if not m["stop"]:
+                stack.append((name, m.start()))
+            elif m["end"]:
+                close(name)
+            elif not m["rest"].endswith("/") and name[1:] not in _VOID:
+                stack.append((name, m.start()))
+        elif sign in _BRACKETS:
+            close(_BRACKETS[sign])
+        elif sign in _QUOTES:
+            if sign == "„" or not close(_QUOTES[sign]):
+                stack.append((_QUOTES[sign], m.start()))
+        else:
+            stack.append((sign, m.start()))
+    return stack
+
+
+def structure(text: str) -> tuple[bool, bool, bool]:
+    """Whether the text has signs that open something, leaves one open, and leaves one open that its last sentence opens."""
+    if not _SIGNS.search(text):
+        return False, False, False
+    left = open_signs(text)
+    return True, bool(left), bool(left) and not _BOUNDARY.search(text, left[-1][1] + 1)
 
 
 def ending(text: str | None) -> tuple[str, str | None]:
     """How a text in the consistent form ends: its state and, where the corpus must decide, the phrase to look up.
 
-    blank, whole (terminator or settled closing), broken (hard evidence of a cut), unit and formula (whole if the
-    corpus knows the phrase), open (no terminator and no closing).
+    blank, whole (terminator or settled closing), broken (a cut sign, or a bracket, or without a terminator any sign, that
+    the last sentence leaves open), unit and formula (whole if the corpus knows the phrase), open (no terminator, no closing).
     """
     text = (text or "").strip()
     if not text:
         return "blank", None
-    if _BROKEN.search(text) or _open_at_end(text):
+    whole = bool(_WHOLE.search(text))
+    if _BROKEN.search(text) or structure(text)[2] and (not whole or open_signs(text)[-1][0] in "([{"):
         return "broken", None
-    if _WHOLE.search(text):
+    if whole:
         return "whole", None
     lines = [line for line in (" ".join(x.split()) for x in _LINES.split(text)) if line]
     last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
@@ -103,29 +138,32 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for low, high in slices(texts, SLICE_CHARS):
-            plain = consistent(texts.slice(low, high - low)).to_pylist()
+            plain = [(t or "").strip() for t in consistent(texts.slice(low, high - low)).to_pylist()]
             found = [ending(t) for t in plain]
-            sets = [s == "whole" or bool(t and _SENTENCE.search(t)) for t, (s, _) in zip(plain, found, strict=True)]
+            sets = [s == "whole" or bool(_SENTENCE.search(t)) for t, (s, _) in zip(plain, found, strict=True)]
+            signs = [structure(t) for t in plain]
             part = batch.slice(low, high - low)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string()), pa.array(sets, pa.bool_())], names=["doc_id", "source", "state", "phrase", "sets"])
+            columns = [pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string()), *(pa.array(x, pa.bool_()) for x in (sets, [s[0] for s in signs], [s[1] for s in signs]))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), *columns], names=["doc_id", "source", "state", "phrase", "sets", "signs", "left"])
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, source and truncated for every document that isn't blank."""
+    """doc_id, source, truncated and unclosed (the automaton found a sign left open) for every document that isn't blank."""
     read = spread(pick(documents, "doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     kind = read.schema["doc_id"].dataType.simpleString()
-    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean").where("state <> 'blank'"), "endings")
+    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean, signs boolean, left boolean").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
     totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
     share = F.when(F.col("state") == "unit", totals["unit"]).otherwise(totals["formula"])
     known = phrases.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
-    settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state", "sets")
-    terminators = (F.col("sets") | (F.col("state") == "whole")).cast("long")
-    habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.sum(terminators).alias("n_set"))
-    corpus = habit.agg((F.sum("n_set") / F.sum("n")).alias("usual"))
-    habit = habit.crossJoin(corpus).select("source", F.when(F.col("n") >= LEAST_TEXTS, F.col("n_set") / F.col("n")).otherwise(F.col("usual")).alias("terminated"))
-    cut = (F.col("state") == "broken") | ((F.col("state") == "open") & (F.col("sets") | (F.col("terminated") >= TERMINATED)))
-    return settled.join(habit, "source").select("doc_id", "source", cut.alias("truncated"))
+    settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state", "sets", "signs", "left")
+    ended = F.col("state") == "whole"
+    habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("sets") | ended).alias("n_set"), F.count_if(ended & F.col("signs")).alias("n_signs"), F.count_if(ended & F.col("signs") & ~F.col("left")).alias("n_closed"))
+    corpus = habit.agg((F.sum("n_set") / F.sum("n")).alias("sets_usual"), F.try_divide(F.sum("n_closed"), F.sum("n_signs")).alias("closes_usual"))
+    own = lambda part, of, usual: F.when(F.col(of) >= LEAST_TEXTS, F.col(part) / F.col(of)).otherwise(F.col(usual))
+    habit = habit.crossJoin(corpus).select("source", own("n_set", "n", "sets_usual").alias("terminated"), own("n_closed", "n_signs", "closes_usual").alias("closed"))
+    cut = F.when(ended, F.col("left") & (F.col("closed") >= CLOSED)).otherwise((F.col("state") == "broken") | F.col("sets") | (F.col("terminated") >= TERMINATED))
+    return settled.join(habit, "source").select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("truncated"), F.col("left").alias("unclosed"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -134,6 +172,6 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 
 def rates(documents: DataFrame) -> DataFrame:
-    """source, n_documents that aren't blank, n_truncated, rate."""
-    per = judged(documents).groupBy(F.nullif("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_documents"), F.count_if("truncated").alias("n_truncated"))
+    """source, n_documents that aren't blank, n_truncated, n_unclosed (a sign is left open), rate of the truncated."""
+    per = judged(documents).groupBy(F.nullif("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_documents"), F.count_if("truncated").alias("n_truncated"), F.count_if("unclosed").alias("n_unclosed"))
     return per.withColumn("rate", F.col("n_truncated") / F.col("n_documents"))

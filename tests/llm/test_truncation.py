@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from docflow.llm import truncation as X
@@ -14,13 +16,44 @@ BODY = "Korpralen gick till Kvarnby. Han kom åter på söndagen."
         ("\nSom intygas\nOlof Larsson", "whole"), ("\r\nAmen", "whole"), ("\n(L. S.)", "whole"), ("\nSumma 318 mark", "unit"), ("\nArbetat efter", "formula"),
         (" Men när borgaren", "open"), (" Men när borg", "open"), (" Men när…", "broken"), (" Men när...", "broken"), (" fr�", "broken"), (r" f\u00e", "broken"),
         (" Men n&au", "broken"), (" Men <br", "broken"), (" Men [UN", "broken"), (" Men kvarn-", "broken"), ("\nMen när borgaren gick till kvarnen", "open"), (" Se (nedan.", "broken"),
-        ("\n12 gamla båtar, 3 riksdaler", "unit"), (" Han gav 5 öre", "open"),
+        ("\n12 gamla båtar, 3 riksdaler", "unit"), (" Han gav 5 öre", "open"), (" Se [not 3. Han kom", "open"), (" Han <b>gick", "broken"), (" Han „gick", "broken"), (" Han „gick.", "whole"), (" sm%C3%", "broken"), (" smÃ", "broken"),
     ],
 )
 def test_endings(tail: str, state: str) -> None:
     assert X.ending(BODY + tail)[0] == state
 
 
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("„Kom hit.", ['"']), ("”Kom hit.", ['"']), ('"Kom hit nu och vänta.', ["'"]), ("Se (nedan. Han gick bort.", ["("]), ("Se [not 3. Han kom.", ["["]), ("<p>Han gick. Och kom.", ["<p"]), ("Han gick <b>bort.", ["<b"]),
+        ("„Kom hit“, sade han. ”Nej”, sade hon. “Jo.”", []), ("»Kom», sade han. «Nej», «jo».", []), ("(a [b) c", []), ("a) b) c", []), ("<p>En<br>rad <lb/> till</p>", []), ("<p>En <i>rad</p>", []), ("3 < 5 och 7 > 5", []),
+        ("<p class='x", ["<p"]), ("Han sade: „kom (nu", ['"', "("]), ("(" * 50_000 + ")" * 49_999, ["("]), ("", []), ('<a href="(">länk</a>', []),
+    ],
+)
+def test_automaton(text: str, left: list[str]) -> None:
+    assert [s for s, _ in X.open_signs(text)] == left
+
+
+def test_automaton_against_rewriting() -> None:
+    """Brackets alone: what is left after innermost pairs are removed again and again, where nothing crosses."""
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices("()a", k=rng.randint(0, 30)))
+        plain, before = text.replace("a", ""), None
+        while plain != before:
+            before, plain = plain, plain.replace("()", "")
+        assert len(X.open_signs(text)) == plain.count("(")
+
+
+def test_signs_left_open_count_by_the_habit_of_the_source(spark) -> None:
+    """Ten texts close their quotes and one doesn't; another source never closes them."""
+    closed, opened = f"{BODY} Han sade: „Kom hit nu.“", f"{BODY} Han sade: „Kom hit nu."
+    texts = [(closed, "a")] * 30 + [(opened, "a")] + [(opened, "b")] * 12 + [(closed, "b")] * 3
+    assert [r[0] for r in X.truncated(rows(spark, texts)).collect()] == [30]
+    assert {r["source"]: r["n_unclosed"] for r in X.rates(rows(spark, texts)).collect()} == {"a": 1, "b": 12}
+
+
 def test_blank() -> None:
     assert [X.ending(t)[0] for t in (None, "", " \r\n\t")] == ["blank"] * 3
 
