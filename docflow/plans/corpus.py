@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators import archive, nested
+from docflow.session import shared_dir
 from docflow.sources.tables import table
 
 
@@ -14,10 +17,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.copies(archive.record_index(table(spark, sf_dir, "label_files")))
 
 
+def _container(spark: SparkSession, sf_dir: str) -> archive.Container:
+    return archive.write(archive.pack(table(spark, sf_dir, "label_files")), f"{shared_dir(spark)}/docflow/archive-{uuid.uuid4().hex}")
+
+
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed containers without their payload, with the checksum of the block and the number of its entries."""
-    blocks = archive.pack(table(spark, sf_dir, "label_files"))
-    return blocks.select("block_id", "n_files", "n_bytes", "crc32", F.size("entries").cast("long").alias("n_entries"))
+    blocks = archive.pack(table(spark, sf_dir, "label_files")).blocks
+    return blocks.select("block_id", "n_files", "n_bytes", "crc32", F.size("file_ids").cast("long").alias("n_entries"))
+
+
+def p4_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the file that holds its record and the lengths of both, from the written container alone."""
+    return archive.resolve(_container(spark, sf_dir)).select("file_id", "file_path", "stored_id", "length", "stored_length")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of the stored files, cut from the blocks' payloads, whose checksums hold."""
+    return archive.restore(_container(spark, sf_dir).blocks).where("intact").select("file_id", "file_path", F.decode("bytes", "UTF-8").alias("body"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +54,21 @@ def p5_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.points(nested.nodes(table(spark, sf_dir, "page_annotations")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_blocks, p5_found, p5_regions, p5_lines, p5_points)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_blocks, p4_resolve, p4_restored, p5_found, p5_regions, p5_lines, p5_points)}
 
-ORACLE = {
-    "p4_found": r"""
+_BOXES = r"""
 WITH lines AS (
   SELECT file_id, nfc_normalize(unique_key) AS k,
          list_filter(string_split_regex(replace(body, chr(65279), ''), '[\r\n]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS ls
   FROM label_files WHERE body IS NOT NULL),
 boxes AS (
-  SELECT file_id, k, list_sort(list_transform(ls, lambda x: list_transform(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' '), lambda t: CAST(t AS DOUBLE)))) AS b FROM lines)
-SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY k, b) AS first_id FROM boxes) WHERE first_id < file_id""",
+  SELECT file_id, k, list_sort(list_transform(ls, lambda x: list_transform(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' '), lambda t: CAST(t AS DOUBLE)))) AS b FROM lines),
+firsts AS (SELECT file_id, min(file_id) OVER (PARTITION BY k, b) AS first_id FROM boxes)"""
+
+ORACLE = {
+    "p4_found": _BOXES + " SELECT file_id FROM firsts WHERE first_id < file_id",
+    "p4_resolve": _BOXES + """
+SELECT f.file_id, f.file_path, first_id AS stored_id, CAST(strlen(f.body) AS BIGINT) AS length, CAST(strlen(s.body) AS BIGINT) AS stored_length
+FROM firsts JOIN label_files f USING (file_id) JOIN label_files s ON s.file_id = first_id""",
+    "p4_restored": _BOXES + " SELECT file_id, file_path, body FROM firsts JOIN label_files USING (file_id) WHERE first_id = file_id",
 }

@@ -23,28 +23,50 @@ def files(spark):
 def test_copies(spark) -> None:
     index = archive.record_index(files(spark))
     assert sorted(r[0] for r in archive.copies(index).collect()) == [5, 8, 11, 15]
-    assert index.count() == 12 and index.where("file_id = 9").first()["stored_id"] is None
+    assert index.count() == 11 and index.where("file_id = 9").count() == 0
     assert archive.copies(archive.record_index(files(spark).where("false"))).count() == 0
     assert archive.copies(archive.record_index(files(spark).toDF("file_id", "file_path", "unique_key", "body", "n_bytes", "BODY", "stored_id"))).count() == 4
 
 
-def test_round_trip(spark) -> None:
+def test_round_trip(spark, tmp_path) -> None:
     source = files(spark)
-    for size, parts in ((1 << 20, None), (40, 3)):
-        blocks = archive.pack(source, size, parts).cache()
-        back = {r["file_id"]: (bytes(r["bytes"]).decode(), r["intact"]) for r in archive.restore(blocks).collect()}
-        bodies = {r["file_id"]: r["body"] for r in source.collect()}
+    bodies = {r["file_id"]: r["body"] for r in source.collect()}
+    for k, (size, most, tasks) in enumerate(((1 << 20, 100, None), (40, 100, 3), (1 << 20, 2, 1))):
+        container = archive.write(archive.pack(source, size, most, tasks), str(tmp_path / str(k)))
+        back = {r["file_id"]: (bytes(r["bytes"]).decode(), r["intact"]) for r in archive.restore(container.blocks).collect()}
         assert set(back) == {2, 3, 7, 10, 12, 13, 14} and all(v == (bodies[k], True) for k, v in back.items())
-        assert blocks.count() == blocks.select("block_id").distinct().count()
-        assert all(r["crc32"] == zlib.crc32(bytes(r["payload"])) and r["n_bytes"] == len(r["payload"]) for r in blocks.collect())
-        assert archive.resolve(source, blocks).count() == 11
-        assert [bytes(r["bytes"]).decode() for r in archive.lookup(blocks, [3]).collect()] == [bodies[3]]
-    assert archive.pack(source.where("false")).count() == 0
+        blocks = container.blocks.collect()
+        assert len(blocks) == len({r["block_id"] for r in blocks})
+        assert all(r["crc32"] == zlib.crc32(bytes(r["payload"])) and r["n_bytes"] == len(r["payload"]) and r["n_files"] == len(r["file_ids"]) <= most for r in blocks)
+        resolved = {r["file_id"]: r for r in archive.resolve(container).collect()}
+        assert set(resolved) == {i for i, b in bodies.items() if b is not None}
+        assert {i: r["stored_id"] for i, r in resolved.items() if r["stored_id"] != i} == {5: 2, 8: 7, 11: 10, 15: 14}
+        payloads = {r["block_id"]: bytes(r["payload"]) for r in blocks}
+        for i, r in resolved.items():
+            at = payloads[r["block_id"]][r["offset"] : r["offset"] + r["stored_length"]]
+            assert at.decode() == bodies[r["stored_id"]] and zlib.crc32(at) == r["stored_crc32"]
+            assert (r["length"], r["crc32"]) == (len(bodies[i].encode()), zlib.crc32(bodies[i].encode())) and r["file_path"] == source.where(f"file_id = {i}").first()["file_path"]
+        assert [bytes(r["bytes"]).decode() for r in archive.lookup(container.blocks, [3]).collect()] == [bodies[3]]
+    empty = archive.pack(source.where("false"))
+    assert empty.blocks.count() == 0 and archive.resolve(empty).count() == 0
 
 
 def test_repeated_rows(spark) -> None:
     twice = files(spark).union(files(spark))
-    assert archive.restore(archive.pack(twice)).count() == 7
+    container = archive.pack(twice)
+    assert archive.restore(container.blocks).count() == 7 and container.aliases.count() == 4 and archive.resolve(container).count() == 11
+
+
+def test_blocks_are_full(spark) -> None:
+    rows = spark.range(5000).selectExpr("id as file_id", "concat('p', id) as file_path", "concat('k', id) as unique_key", "concat(repeat('0 1 1 1 1\n', cast(id % 7 as int)), id) as body")
+    sizes = [r["n_bytes"] for r in archive.pack(rows, 4000, tasks=3).blocks.orderBy("block_id").collect()]
+    assert sum(n < 4000 - 80 for n in sizes) <= 3 and max(sizes) <= 4000
+
+
+def test_a_record_of_a_third_of_all_files(spark) -> None:
+    rows = spark.range(3000).selectExpr("id as file_id", "concat('p', id) as file_path", "if(id % 3 = 0, 'k', concat('k', id)) as unique_key", "if(id % 6 = 0, '0 1 1 1 1', '0 1.0 1 1 1 ') as body")
+    container = archive.pack(rows)
+    assert container.aliases.count() == 999 and archive.resolve(container).where("stored_id = 0").count() == 1000
 
 
 def brute(payload: str | None) -> list[tuple]:
