@@ -65,7 +65,54 @@ boxes AS (
   SELECT file_id, k, list_sort(list_transform(ls, lambda x: list_transform(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' '), lambda t: CAST(t AS DOUBLE)))) AS b FROM lines),
 firsts AS (SELECT file_id, min(file_id) OVER (PARTITION BY k, b) AS first_id FROM boxes)"""
 
+# A page's regions, lines and polygons by recursion over JSON values; an object stands for an array of one.
+_PAGES = """
+WITH RECURSIVE stored AS (
+  SELECT page_id, payload, row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC NULLS LAST, md5(payload) DESC NULLS LAST) AS k FROM page_annotations),
+roots AS (SELECT page_id, CAST(payload AS JSON) AS root FROM stored WHERE k = 1 AND json_valid(payload)),
+found AS (SELECT page_id, root, COALESCE(json_extract(root, '$.Page'), json_extract(root, '$.*.Page')[1], root) AS page FROM roots WHERE json_type(root) = 'OBJECT'),
+pages AS (
+  SELECT page_id, CASE json_type(page) WHEN 'ARRAY' THEN list_filter(json_extract(page, '$[*]'), lambda x: json_type(x) = 'OBJECT')[1] ELSE page END AS page FROM found),
+tops AS (SELECT page_id, json_extract(page, '$.regions') AS r FROM pages),
+top_items AS (SELECT page_id, CASE json_type(r) WHEN 'ARRAY' THEN json_extract(r, '$[*]') WHEN 'OBJECT' THEN [r] ELSE [] END AS items FROM tops),
+walk AS (
+  SELECT page_id, CAST(i AS VARCHAR) AS region_path, items[i + 1] AS node FROM (SELECT page_id, items, unnest(range(len(items))) AS i FROM top_items) WHERE json_type(items[i + 1]) = 'OBJECT'
+  UNION ALL
+  SELECT page_id, region_path || '.' || i, items[i + 1] FROM (
+    SELECT page_id, region_path, items, unnest(range(len(items))) AS i FROM (
+      SELECT page_id, region_path, CASE json_type(json_extract(node, '$.regions')) WHEN 'ARRAY' THEN json_extract(node, '$.regions[*]') WHEN 'OBJECT' THEN [json_extract(node, '$.regions')] ELSE [] END AS items FROM walk))
+  WHERE json_type(items[i + 1]) = 'OBJECT'),
+line_items AS (
+  SELECT page_id, region_path, CASE json_type(json_extract(node, '$.lines')) WHEN 'ARRAY' THEN json_extract(node, '$.lines[*]') WHEN 'OBJECT' THEN [json_extract(node, '$.lines')] ELSE [] END AS items FROM walk),
+line_nodes AS (
+  SELECT page_id, region_path, i AS line_no, items[i + 1] AS node FROM (SELECT page_id, region_path, items, unnest(range(len(items))) AS i FROM line_items) WHERE json_type(items[i + 1]) = 'OBJECT'),
+owners AS (SELECT page_id, region_path, -1 AS line_no, node FROM walk UNION ALL SELECT * FROM line_nodes),
+polygons AS (
+  SELECT page_id, region_path, line_no, CASE WHEN json_exists(node, '$.polygon.points') THEN json_extract(node, '$.polygon.points') ELSE json_extract(node, '$.polygon') END AS v FROM owners),
+point_items AS (
+  SELECT page_id, region_path, line_no, CASE json_type(v)
+    WHEN 'ARRAY' THEN list_transform(json_extract(v, '$[*]'), lambda e: CASE WHEN json_type(e) IN ('ARRAY', 'OBJECT', 'VARCHAR') THEN e END)
+    WHEN 'OBJECT' THEN CASE WHEN json_exists(v, '$.x') THEN [v] ELSE [] END
+    WHEN 'VARCHAR' THEN list_transform(list_filter(string_split_regex(json_extract_string(v, '$'), '\\s+'), lambda e: e <> ''), lambda e: to_json(e)) ELSE [] END AS items FROM polygons),
+point_nodes AS (SELECT page_id, region_path, line_no, i AS point_no, items[i + 1] AS v FROM (SELECT *, unnest(range(len(items))) AS i FROM point_items) WHERE items[i + 1] IS NOT NULL)"""
+
 ORACLE = {
+    "p5_found": _PAGES + """
+SELECT page_id, region_path, CAST(-1 AS INT) AS line_no, CAST(-1 AS INT) AS point_no FROM walk
+UNION ALL SELECT page_id, region_path, CAST(line_no AS INT), CAST(-1 AS INT) FROM line_nodes
+UNION ALL SELECT page_id, region_path, CAST(line_no AS INT), CAST(point_no AS INT) FROM point_nodes""",
+    "p5_regions": _PAGES + """
+SELECT page_id, region_path, CASE WHEN region_path LIKE '%.%' THEN regexp_replace(region_path, '[.][0-9]+$', '') END AS parent_path,
+  CASE json_type(json_extract(node, '$.region_id')) WHEN 'VARCHAR' THEN json_extract_string(node, '$.region_id') END AS region_id,
+  CASE json_type(json_extract(node, '$.transcription')) WHEN 'VARCHAR' THEN json_extract_string(node, '$.transcription') END AS transcription FROM walk""",
+    "p5_lines": _PAGES + """
+SELECT page_id, region_path, CAST(line_no AS INT) AS line_no,
+  CASE json_type(json_extract(node, '$.line_id')) WHEN 'VARCHAR' THEN json_extract_string(node, '$.line_id') END AS line_id,
+  CASE json_type(json_extract(node, '$.transcription')) WHEN 'VARCHAR' THEN json_extract_string(node, '$.transcription') END AS transcription FROM line_nodes""",
+    "p5_points": _PAGES + """
+SELECT page_id, region_path, CAST(line_no AS INT) AS line_no, CAST(point_no AS INT) AS point_no,
+  TRY_CAST(trim(CASE json_type(v) WHEN 'ARRAY' THEN json_extract_string(v, '$[0]') WHEN 'OBJECT' THEN json_extract_string(v, '$.x') ELSE split_part(json_extract_string(v, '$'), ',', 1) END) AS DOUBLE) AS x,
+  TRY_CAST(trim(CASE json_type(v) WHEN 'ARRAY' THEN json_extract_string(v, '$[1]') WHEN 'OBJECT' THEN json_extract_string(v, '$.y') ELSE split_part(json_extract_string(v, '$'), ',', 2) END) AS DOUBLE) AS y FROM point_nodes""",
     "p4_found": _BOXES + " SELECT file_id FROM firsts WHERE first_id < file_id",
     "p4_resolve": _BOXES + """
 SELECT f.file_id, f.file_path, first_id AS stored_id, CAST(strlen(f.body) AS BIGINT) AS length, CAST(strlen(s.body) AS BIGINT) AS stored_length

@@ -4,6 +4,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
 from docflow.operators import archive, nested
@@ -143,6 +144,66 @@ def test_flattening_against_brute_force() -> None:
         assert sorted(got) == want
 
 
+def is_json(text: str) -> bool:
+    def no_constant(name: str):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=no_constant)
+    except ValueError:
+        return False
+    return True
+
+
+def accepted(payloads: list[str]) -> list[bool]:
+    raw = pa.array(payloads, pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)
+    return nested.Values(np.frombuffer(raw.buffers()[2] or b"", np.uint8), offsets).good.tolist()
+
+
+def test_what_is_json() -> None:
+    """Written cases and random damage to JSON texts in one buffer, against a parser."""
+    cases = ["{}", "[]", "0", "-0.5e+3", "01", "+1", ".5", "1.", "1e", "tru", "true", "null ", " null", '""', '"a', '"\\"', '"\\\\"', '"\\x"', '"\\u12G4"', '"\\u00e5"', '"\\u00e', '"\n"', "[1,]", "[,1]", "[1 2]", "[1,2]", '{"a":1,}', '{"a"}', '{"a":}', "{1:2}", '{"a":1 "b":2}', '{"a":1,"b":[]}', "{,}", "[:1]", "1 2", "{}{}", "[}", "{]", "[[]", "]", "[", "", " ", ":", ",", '"a":1', "[1]]", '{"a":[1,{"b":null}]}', "nulll", "NaN", "[Infinity]", "\\", '[\\"a"]', "{\"a\" : \"b\"\t}", '["a""b"]', '[1"a"]', '["a"1]', "[true false]", "5\u00a0", "\u00e5", '{"a":{"a":1}']
+    rng = random.Random(12)
+
+    def value(depth: int):
+        kind = rng.randrange(8 if depth < 4 else 5)
+        if kind < 5:
+            return rng.choice([None, True, -1.5e3, 12, "a\"{", "å\\", "", "\n"])
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind < 7 else {rng.choice(["a", "b{", ""]): value(depth + 1) for _ in range(rng.randrange(3))}
+
+    for _ in range(4000):
+        text = json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(text) + 1)
+            text = rng.choice([text[:at] + rng.choice(list('{}[]:,"\\ 1ea.-')) + text[at:], text[:at] + text[at + 1 :], text[:at]])
+        cases.append(text)
+    got = accepted(cases)
+    assert [c for c, g in zip(cases, got, strict=True) if g != is_json(c)] == [] and 1000 < sum(got) < 3500
+    rng.shuffle(cases)
+    assert accepted(cases) == [is_json(c) for c in cases]
+
+
+def test_strings_are_unescaped() -> None:
+    texts = ["", "a", "\\", '"', "å\n\t\b\f\r/", "€", "😀x", "\\u0041", "\ufffd", "a\\\\n"]
+    raw = [json.dumps(t, ensure_ascii=e)[1:-1] for t in texts for e in (True, False)] + ["\\/", "\\ud83dx", "\\ude00", "\\ud83d\\ud83d\\ude00"]
+    want = [t for t in texts for _ in (0, 1)] + ["/", "\ufffdx", "\ufffd", "\ufffd😀"]
+    assert nested._unescaped(pa.array(raw).cast(pa.binary())).to_pylist() == want
+
+
+def test_any_depth_escaped_and_repeated_keys() -> None:
+    def found(text: str) -> list[tuple]:
+        return sorted(tuple(r.values())[1:5] for b in nested.flatten(pa.array([text], pa.large_string()), pa.array([1]), True) for r in b.to_pylist())
+
+    depth = 5_000
+    deep = '{"Page":' + '{"regions":[' * depth + '{"lines":{}}' + "]}" * depth + "}"
+    assert len(found(deep)) == depth + 1
+    assert accepted(["[" * 200_000 + "]" * 200_000, "[" * 200_000 + "]" * 199_999]) == [True, False]
+    assert found(r'{"\u0050age":{"r\u0065gions":{"region\u005fid":"a\u00e5"}}}') == [("0", -1, -1, "aå")]
+    assert found('{"Page":{"regions":[{},{}]},"Page":{"regions":[{"region_id":"x"},{"region_id":"y","region_id":"z"}]}}') == [("0", -1, -1, "x"), ("1", -1, -1, "z")]
+    assert found('{"w":{"Page":{"regions":[{},{}]}},"w":{"Page":{"regions":{}}}}') == [("0", -1, -1, None)]
+
+
 def test_tables(spark) -> None:
     page = {"Page": {"regions": [None, {"region_id": "r1", "transcription": "hej\nå", "polygon": "1,2 3,4", "regions": {"region_id": "r2", "lines": {"line_id": "l", "transcription": None, "polygon": [["5", "6"], {"y": 8, "x": 7}]}}}]}}
     rows = [(1, json.dumps(page), "2020", "a"), (1, json.dumps(page), "2021", "a"), (2, None, "2020", "a"), (3, "{", "2020", "a"), (None, json.dumps(page), "2020", None), (4, json.dumps({"Page": {"regions": [{"transcription": "x" * 1_000_000}]}}), None, None)]
