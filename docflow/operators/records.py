@@ -134,14 +134,19 @@ def strip_padding(text: Column) -> Column:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """index of each row in the order and _total. Rows are cut into ranges and numbered within them, so no task sees all."""
+    """index of each row in the order, an int, and _total."""
+    return positions(rows, order).withColumn("index", F.col("index").cast("int"))
+
+
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """index of each row in the order, a bigint, and _total. Rows are cut into ranges and numbered within them, so no task sees all."""
     ranged = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # A row a partition.
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     found = ranged.withColumn("_local", local).join(F.broadcast(before), "_range")
-    return found.withColumn("index", (F.col("_before") + F.col("_local")).cast("int")).drop("_range", "_local", "_before")
+    return found.withColumn("index", (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_before")
 
 
 def select_rows(rows: DataFrame, order: list[str], start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
