@@ -1,32 +1,33 @@
 """Splits that keep related records together (problem 3).
 
 Grouped iterative stratification. Records and the entities they share form a graph; its connected components are the
-units of the split. Each component has a label vector (records by label). The component with the rarest outstanding
-label is placed first, larger ones before smaller, into the split that needs that label most.
+units of the split. Each component has a label vector (records by label) and a home, the rarest of its labels in the
+corpus. Labels are placed in order, rarest first; of a label's components the larger ones first, each into the split
+that then needs that label most. Components with other labels too count against the needs of those as well.
 
 Scale: components are found by alternating large-star and small-star steps with partial aggregates, each round
-written to the shared folder. The greedy runs over classes of components with the same label vector, whose number is
-bounded (CLASS_LIMIT; counts are rounded more coarsely until it holds), never over the components; within a class
-components are ranked by hash in two levels, so no class gathers in one task.
+written to the shared folder. The greedy runs over groups of components of one home and one size, whose number is
+bounded by the square root of the records (k different sizes make k * (k + 1) / 2 records), and places a group at once
+by the level that its needs sink to, which gives the same as one by one. Nothing is rounded at any size. Where a home
+has components with several labels, one aggregate brings their exact sums to the driver, a row for each split and label.
+Components are numbered by ranges of home, size and hash, so neither a home nor a group gathers in one task.
 
 Defined results. Records with a null entity are units of their own kind and stay out of the graph (their page is its
 own component). Names that differ only in spelling are one entity. A null label is the label ''. Repeated rows count
-once per distinct page. Ties go to the split that needs most records, then to the first split. An empty table gives
-an empty assignment. Extra columns are ignored.
+once per distinct page. Ties go to the split that needs most records, then to the first split. A volume listed under
+several sources has the first of them by name. An empty table gives an empty assignment. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.names import fold_name, volume_of
-from docflow.session import materialise, pick, small_rows
+from docflow.operators.records import positions
+from docflow.session import materialise, pick
 
 SPLITS = (("train", 0.81), ("val", 0.09), ("test", 0.10))
-#: Most classes of equal label vectors that the greedy may see; 40 bytes each on the driver.
-CLASS_LIMIT = 50_000
-_BUCKETS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,75 +60,74 @@ def parted(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.size("labels") > 1).drop("labels")
 
 
-def _place(classes: list[tuple[tuple[tuple[str, int], ...], int]], splits: tuple[tuple[str, float], ...]) -> dict[tuple, list[tuple[str, int]]]:
-    """For each class (label vector, number of components) how many components go to which split, in order."""
-    total: dict[str, float] = {}
-    for vector, count in classes:
-        for label, n in vector:
-            total[label] = total.get(label, 0) + n * count
-    need = {label: [ratio * n for _, ratio in splits] for label, n in total.items()}
-    whole = [ratio * sum(total.values()) for _, ratio in splits]
-    outstanding, open_classes = dict(total), dict(classes)
-    by_label: dict[str, list] = {}
-    for vector, _ in classes:
-        for label, n in vector:
-            by_label.setdefault(label, []).append((-n, vector))
-    placed: dict[tuple, list[tuple[str, int]]] = {}
-    while outstanding:
-        rarest = min(outstanding, key=lambda label: (outstanding[label], label))
-        for _, vector in sorted(by_label[rarest]):
-            left = open_classes.pop(vector, 0)
-            size = dict(vector)
-            while left:
-                order = sorted(range(len(splits)), key=lambda s: (-need[rarest][s], -whole[s], s))
-                lead = need[rarest][order[0]] - need[rarest][order[min(1, len(order) - 1)]]
-                take = min(left, max(1, int(lead // max(size[rarest], 1)), left // 100))
-                placed.setdefault(vector, []).append((splits[order[0]][0], take))
-                for label, n in vector:
-                    need[label][order[0]] -= n * take
-                    outstanding[label] = outstanding.get(label, 0) - n * take
-                    whole[order[0]] -= n * take
-                left -= take
-        outstanding.pop(rarest)
-        outstanding = {label: n for label, n in outstanding.items() if n > 0}
-    return placed
-
-
-def _rounded(n, digits: int):
-    """n to so many significant binary digits; 0 digits: the power of two."""
-    power = F.floor(F.log2(n)).cast("int")
-    step = F.greatest(F.lit(1), F.expr("0") + F.pow(F.lit(2.0), F.greatest(power - digits, F.lit(0)))).cast("long")
-    return (F.floor(n / step) * step).cast("long")
+def shares(need: list[float], whole: list[float], size: int, count: int) -> list[int]:
+    """How many of `count` components of `size` records each split gets if they go one by one to the split that needs most.
+
+    Needs sink to one level: all that a split takes above it is known at once, and only the last few are placed singly.
+    """
+    level = lambda t: [max(0, int((n - t) // size) + 1) if n > t else 0 for n in need]
+    low, high = min(need) - size * (count + 1.0), max(need)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if sum(level(middle)) > count - min(count, len(need)):
+            low = middle
+        else:
+            high = middle
+        if high - low <= size * 1e-6:
+            break
+    taken = level(high)
+    left, whole = [n - size * k for n, k in zip(need, taken, strict=True)], [w - size * k for w, k in zip(whole, taken, strict=True)]
+    for _ in range(count - sum(taken)):
+        s = min(range(len(need)), key=lambda i: (-left[i], -whole[i], i))
+        taken[s], left[s], whole[s] = taken[s] + 1, left[s] - size, whole[s] - size
+    return taken
 
 
 def stratify(units: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> DataFrame:
     """component, split for units (component, labels)."""
-    units = materialise(units.where(F.size("labels") > 0), "units")
-    entries = lambda digits: F.array_sort(F.map_entries(F.transform_values("labels", lambda _, n: _rounded(n, digits) if digits is not None else n)))
-    for digits in (None, 4, 2, 0):
-        signed = units.select("component", entries(digits).alias("vector"))
-        classes = signed.groupBy("vector").agg(F.count("*").alias("n"))
-        if classes.count() <= CLASS_LIMIT:
-            break
-    else:  # the main label only: at most labels x 64 classes
-        main = F.sort_array(F.transform(F.map_entries("labels"), lambda e: F.struct(_rounded(e["value"], 0).alias("value"), e["key"].alias("key"))), asc=False)[0]
-        signed = units.select("component", F.array(F.struct(main["key"].alias("key"), main["value"].alias("value"))).alias("vector"))
-        classes = signed.groupBy("vector").agg(F.count("*").alias("n"))
-    rows = small_rows(classes, CLASS_LIMIT, "classes of label vectors")
-    placed = _place([(tuple((e["key"], e["value"]) for e in r["vector"]), r["n"]) for r in rows], splits)
-    ranges = []
-    for vector, takes in placed.items():
-        start = 0
-        for split, n in takes:
-            ranges.append(([{"key": k, "value": v} for k, v in vector], start, start + n, split))
-            start += n
-    spans = units.sparkSession.createDataFrame(ranges, "vector array<struct<key:string,value:bigint>>, low bigint, high bigint, split string").groupBy("vector").agg(F.collect_list(F.struct("low", "high", "split")).alias("spans"))
-    bucketed = signed.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(_BUCKETS)))
-    counts = bucketed.groupBy("vector", "bucket").agg(F.count("*").alias("n"))
-    before = counts.select("vector", "bucket", (F.sum("n").over(Window.partitionBy("vector").orderBy("bucket")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("vector", "bucket").orderBy(F.xxhash64(F.lit("rank"), "component"), "component")) - 1
-    ranked = bucketed.withColumn("local", local).join(before, ["vector", "bucket"]).withColumn("rank", F.col("before") + F.col("local"))
-    return ranked.join(spans, "vector").select("component", F.filter("spans", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"]))[0]["split"].alias("split"))
+    spark = units.sparkSession
+    entries = materialise(units.select("component", F.explode("labels").alias("label", "n")), "entries")
+    totals = {r["label"]: r["n"] for r in entries.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row a label
+    if not totals:
+        return units.select("component", F.lit(None).cast("string").alias("split")).limit(0)
+    ranks = materialise(spark.createDataFrame([(label, rank) for rank, label in enumerate(sorted(totals, key=lambda x: (totals[x], x)))], "label string, rank int"), "ranks")
+    homes = entries.join(ranks, "label").groupBy("component").agg(F.min(F.struct("rank", "label", "n")).alias("home"), F.count("*").alias("n_labels"))
+    homes = homes.select("component", F.col("home.rank").alias("rank"), F.col("home.label").alias("home"), F.col("home.n").alias("size"), "n_labels", (-F.col("home.n")).alias("largest"), F.xxhash64(F.lit("rank"), "component").alias("h"))
+    ranked = materialise(positions(homes, ["rank", "largest", "h", "component"]).select("component", "home", "size", "n_labels", "index"), "ranked")
+    # A row for each home and size.
+    groups = ranked.groupBy("home", "size").agg(F.count("*").alias("n"), F.min("index").alias("first"), F.count_if(F.col("n_labels") > 1).alias("several")).collect()
+    by_home: dict[str, list] = {}
+    for r in sorted(groups, key=lambda r: r["first"]):
+        by_home.setdefault(r["home"], []).append(r)
+    need = {label: [ratio * n for _, ratio in splits] for label, n in totals.items()}
+    whole = [ratio * sum(totals.values()) for _, ratio in splits]
+    schema, spans = "home string, size bigint, low bigint, high bigint, split string", []
+    for label, own in by_home.items():
+        placed = []
+        for r in own:
+            low = r["first"]
+            for s, n in enumerate(shares(need[label], whole, r["size"], r["n"])):
+                if n:
+                    placed.append((label, r["size"], low, low + n, splits[s][0]))
+                    need[label][s] -= n * r["size"]
+                    whole[s] -= n * r["size"]
+                    low += n
+        spans += placed
+        if any(r["several"] for r in own):
+            several = _split_of(ranked.where((F.col("home") == label) & (F.col("n_labels") > 1)), spark.createDataFrame(placed, schema))
+            others = several.join(entries.where(F.col("label") != label), "component").groupBy("split", "label").agg(F.sum("n").alias("n"))
+            at = {name: s for s, (name, _) in enumerate(splits)}
+            for r in others.collect():  # a row for each split and label
+                need[r["label"]][at[r["split"]]] -= r["n"]
+                whole[at[r["split"]]] -= r["n"]
+    return _split_of(ranked, materialise(spark.createDataFrame(spans, schema), "spans")).select("component", "split")
+
+
+def _split_of(ranked: DataFrame, spans: DataFrame) -> DataFrame:
+    """component, split by the span of its group in which its number lies."""
+    listed = spans.groupBy("home", "size").agg(F.collect_list(F.struct("low", "high", "split")).alias("spans"))
+    inside = F.filter("spans", lambda s: (s["low"] <= F.col("index")) & (F.col("index") < s["high"]))
+    return ranked.join(listed, ["home", "size"]).select("component", inside[0]["split"].alias("split"))
 
 
 def manifest_pages(manifests: DataFrame) -> DataFrame:
@@ -139,10 +139,18 @@ def manifest_pages(manifests: DataFrame) -> DataFrame:
 
 
 def parted_volumes(manifests: DataFrame, volumes: DataFrame) -> DataFrame:
-    """scheme, volume_id of the volumes that the manifests part: the audit of an assignment by its groups' label vectors."""
+    """scheme, volume_id of the volumes that the manifests part: the audit of an assignment by the operator's units.
+
+    Listed pages and their volumes form the graph, a scheme apart from another; components whose records have several
+    splits as labels are parted ones, and of their volumes those count whose own records do.
+    """
     known = pick(volumes, "volume_id", "img_volume").select("volume_id", volume_of(fold_name(F.col("img_volume"))).alias("volume")).where("volume is not null")
-    vectors = label_vectors(manifest_pages(manifests), ["scheme", "volume"], "split")
-    return parted(vectors.join(known, "volume")).select("scheme", "volume_id")
+    listed = manifest_pages(manifests).where("volume is not null").withColumn("under", F.coalesce(F.concat(F.lit("s:"), "scheme"), F.lit("-")))
+    listed = materialise(listed.select("scheme", "split", F.concat_ws("/", F.lit("p"), "under", "page").alias("page"), F.concat_ws("/", F.lit("v"), "under", "volume").alias("node"), "volume").distinct(), "listed")
+    members = listed.join(components(listed.select(F.col("page").alias("a"), F.col("node").alias("b"))), "node")
+    vectors = parted(label_vectors(members, ["component"], "split"))
+    own = parted(label_vectors(members.join(vectors, "component"), ["scheme", "volume"], "split"))
+    return own.join(known, "volume").select("scheme", "volume_id")
 
 
 def assign(samples: DataFrame, manifests: DataFrame, volumes: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> DataFrame:
@@ -160,7 +168,7 @@ def assign(samples: DataFrame, manifests: DataFrame, volumes: DataFrame, splits:
     edges = every.select(F.concat(F.lit("p:"), "page").alias("a"), F.coalesce(F.concat(F.lit("v:"), "volume"), F.concat(F.lit("p:"), "page")).alias("b"))
     found = components(edges)
     of_page = found.where(F.col("node").startswith("p:")).select(F.substring("node", 3, 1 << 20).alias("page"), "component")
-    sources = volumes.select(fold_name(F.col("img_volume")).alias("volume"), "source").dropDuplicates(["volume"])
+    sources = volumes.select(fold_name(F.col("img_volume")).alias("volume"), "source").groupBy("volume").agg(F.min("source").alias("source"))
     main = every.groupBy("page").agg(F.min("volume").alias("volume"))
     full = materialise(main.join(of_page, "page").join(sources, "volume", "left"), "full")
     split = stratify(label_vectors(full, ["component"], "source"), splits)

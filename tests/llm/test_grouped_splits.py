@@ -27,16 +27,62 @@ def test_components_against_brute_force(spark) -> None:
     assert got == {n: find(n) for e in edges for n in e}
 
 
-def test_greedy_meets_the_ratios() -> None:
-    classes = [((("a", 7),), 50), ((("a", 30), ("b", 2)), 4), ((("b", 5),), 30), ((("c", 1),), 1000)]
-    placed = S._place(classes, S.SPLITS)
-    assert {v: sum(n for _, n in takes) for v, takes in placed.items()} == dict(classes)
-    pages = defaultdict(int)
-    for vector, takes in placed.items():
-        for split, n in takes:
-            pages[split] += n * sum(k for _, k in vector)
-    total = sum(pages.values())
-    assert all(abs(pages[s] / total - r) < 0.02 for s, r in S.SPLITS)
+def one_by_one(need: list[float], whole: list[float], size: int, count: int) -> list[int]:
+    need, whole, taken = list(need), list(whole), [0] * len(need)
+    for _ in range(count):
+        s = min(range(len(need)), key=lambda i: (-need[i], -whole[i], i))
+        taken[s], need[s], whole[s] = taken[s] + 1, need[s] - size, whole[s] - size
+    return taken
+
+
+def test_shares_are_those_of_placing_one_by_one() -> None:
+    rng = random.Random(6)
+    for _ in range(500):
+        n = rng.choice([1, 2, 3, 3, 5])
+        need, whole = [rng.choice([rng.uniform(-50, 900), rng.randint(-5, 50)]) for _ in range(n)], [rng.randint(0, 99) for _ in range(n)]
+        size, count = rng.randint(1, 60), rng.choice([0, 1, 2, rng.randint(0, 300)])
+        assert S.shares(need, whole, size, count) == one_by_one(need, whole, size, count)
+    assert sum(S.shares([8.1e11, 0.9e11, 1e11], [0, 0, 0], 1, 10**12)) == 10**12
+
+
+def test_stratified_against_placing_one_by_one(spark) -> None:
+    """Components of up to three of nine labels, each size apart, against the rule spelled out; and far more label vectors than groups."""
+    rng = random.Random(14)
+    labels = [f"l{k}" for k in range(9)]
+    units = [(f"c{k:05d}", {x: rng.choice([1, 1, 2, 5, rng.randint(1, 400)]) for x in rng.sample(labels, rng.choice([1, 1, 2, 3]))}) for k in range(3000)]
+    frame = spark.createDataFrame(units, "component string, labels map<string,bigint>")
+    h = {r["component"]: r["h"] for r in frame.select("component", F.xxhash64(F.lit("rank"), "component").alias("h")).collect()}
+    totals = defaultdict(int)
+    for _, vector in units:
+        for label, n in vector.items():
+            totals[label] += n
+    order = {label: k for k, label in enumerate(sorted(totals, key=lambda x: (totals[x], x)))}
+    need = {label: [r * n for _, r in S.SPLITS] for label, n in totals.items()}
+    whole = [r * sum(totals.values()) for _, r in S.SPLITS]
+    groups = defaultdict(list)
+    for c, vector in units:
+        home = min(vector, key=order.get)
+        groups[order[home], -vector[home], home].append((h[c], c, vector))
+    want = {}
+    for (_, size, home), members in sorted(groups.items()):
+        taken = one_by_one(need[home], whole, -size, len(members))
+        for (_, c, vector), s in zip(sorted(members, key=lambda m: m[:2]), [s for s, n in enumerate(taken) for _ in range(n)], strict=True):
+            want[c] = S.SPLITS[s][0]
+            for label, n in vector.items():
+                if label == home:
+                    need[label][s] -= n
+                    whole[s] -= n
+        own = [g for g in groups if g[2] == home]
+        if (order[home], size) == max(g[:2] for g in own):  # the home is done: its components' other labels count
+            for g in own:
+                for _, c, vector in groups[g]:
+                    s = [x for x, _ in S.SPLITS].index(want[c])
+                    for label, n in vector.items():
+                        if label != home:
+                            need[label][s] -= n
+                            whole[s] -= n
+    assert {r["component"]: r["split"] for r in S.stratify(frame).collect()} == want
+    assert len({tuple(sorted(v.items())) for _, v in units}) > 2 * len(groups)
 
 
 def tables(spark):
@@ -63,16 +109,11 @@ def test_no_volume_is_parted(spark) -> None:
     assert all(abs(n[s] / len(got) - r) < 0.03 for s, r in S.SPLITS)
 
 
-def test_coarse_classes(spark, monkeypatch) -> None:
-    monkeypatch.setattr(S, "CLASS_LIMIT", 12)
-    got = S.assign(*tables(spark))
-    assert got.groupBy("volume").agg(F.countDistinct("split").alias("n")).where("volume is not null and n > 1").count() == 0
-
-
 def test_parted_volumes(spark) -> None:
     _, manifests, volumes = tables(spark)
     assert sorted(map(tuple, S.parted_volumes(manifests, volumes).collect())) == [("mixed", 1), ("mixed", 2)]
     assert S.parted_volumes(manifests.where("false"), volumes).count() == 0
+    assert S.parted_volumes(manifests.withColumn("scheme", F.when(F.col("scheme") != "mixed", F.col("scheme"))), volumes).where("scheme is null").count() == 2
     assert S.parted_volumes(manifests, volumes.where("false")).count() == 0
 
 
