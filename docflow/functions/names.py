@@ -14,6 +14,9 @@ LOOKALIKES = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "αγικνορυχ": "ayiknopyx",
     "ɑɡ": "ag",
+    "օհոսՕՍ": "ohnuOU",
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPSTVWZ",
+    "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ": "ABCDEFGHIJKLMNOPRSTUVWXYZ",
 }
 
 
