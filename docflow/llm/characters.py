@@ -5,10 +5,11 @@ signs, widen or replace single signs and expand ligatures by offsets; combining
 the whole array; look-alike letters are settled by the scripts present in each word. No text becomes a Python string
 on the way, and the result goes back to Arrow through its buffers.
 
-The consistent form: canonically composed accents; plain half-width letters (ligatures as their letters), digits,
-marks and hyphens; ordinary spaces; no invisible signs; in a word with Latin letters, Latin letters only, where one
-prints alike. Words wholly in Greek or Cyrillic and signs that print differently (fractions, superscripts, numero
-signs, dashes, curly quotes) stay.
+The consistent form: canonically composed accents; plain half-width letters (ligatures, Roman numeral signs and
+mathematical letters as the letters they show), digits, marks and hyphens; ordinary spaces; no invisible signs; in a
+word with Latin letters, Latin letters only, where one prints alike. Words wholly in another script and signs that print
+differently (fractions, superscripts, numero signs, dashes, curly quotes) stay. A letter of another script or a phonetic
+letter or small capital in a word with Latin letters is reported even where no Latin letter prints like it; it then stays.
 
 Defined results. Null stays null and is consistent; empty text stays empty. Whole texts of any length are handled.
 Repeated rows count each. A combining mark that composes with nothing stays. Line feeds, tabs and carriage returns
@@ -35,11 +36,14 @@ SLICE_CHARS = 500_000
 #: Code points that the tables cover; all others stay as they are.
 _SIZE = 0x20000
 _LATIN, _FOREIGN, _LETTER, _MARK = 1, 2, 4, 8
+#: Blocks of phonetic letters, and signs that show other letters: Latin ligatures, Roman numerals, mathematical letters and digits (fixed by Unicode).
+_PHONETIC = ((0x0250, 0x02AF), (0x1D00, 0x1DBF), (0xAB30, 0xAB6F))
+_SHOWN = ((0xFB00, 0xFB06), (0x2160, 0x217F), (0x1D400, 0x1D7FF))
 
 
 @cache
-def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Built once a worker from unicodedata: one-to-one forms (-1 drops), expansions, kinds, look-alikes, canonical pairs, combining classes."""
+def _tables() -> tuple[np.ndarray, Offsets, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Offsets]:
+    """Built once a worker from unicodedata: one-to-one forms (-1 drops), expansions beyond the first sign, kinds, look-alikes, canonical pairs, combining classes, marks taken off composed letters."""
     one = np.arange(_SIZE, dtype=np.int64)
     more: dict[int, str] = {}
     kind = np.zeros(_SIZE, np.uint8)
@@ -57,7 +61,7 @@ def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray, np.nd
             one[code] = -1
         elif category == "Zs":
             one[code] = 0x20
-        elif decomposition.startswith(("<wide>", "<narrow>", "<noBreak>")) or 0xFB00 <= code <= 0xFB06:
+        elif decomposition.startswith(("<wide>", "<narrow>", "<noBreak>")) or any(low <= code <= high for low, high in _SHOWN):
             text = unicodedata.normalize("NFKC", char)
             one[code], more[code] = ord(text[0]), text
         elif decomposition and not decomposition.startswith("<"):
@@ -76,19 +80,41 @@ def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray, np.nd
             kind[code] = _MARK
         elif category[0] == "L" and category != "Lm":
             name = unicodedata.name(char, "")
-            # Phonetic letters count as Latin-word strangers only where a plain letter prints like them.
-            foreign = name.startswith(("GREEK", "CYRILLIC")) or char in "ɑɡ"
-            kind[code] = _LETTER | (_LATIN if name.startswith("LATIN") and not foreign else _FOREIGN if foreign else 0)
+            latin = name.startswith("LATIN")
+            foreign = "SMALL CAPITAL" in name or any(low <= code <= high for low, high in _PHONETIC) or not latin and code >= 0x370 and not 0x2100 <= code < 0x2150
+            kind[code] = _LETTER | (_FOREIGN if foreign else _LATIN if latin else 0)
     for source, target in LOOKALIKES.items():
         for a, b in zip(source, target, strict=True):
             alike[ord(a)] = ord(b)
     for code in np.flatnonzero(kind & _FOREIGN).tolist():  # accented look-alikes
         base, *marks = unicodedata.normalize("NFD", chr(code))
+        if not marks or ord(base) >= _SIZE:
+            continue
         text = unicodedata.normalize("NFC", chr(alike[ord(base)]) + "".join(marks))
-        if marks and len(text) == 1:
+        if len(text) == 1:
             alike[code] = ord(text)
     keys = np.array(sorted(pairs), np.int64)
-    return one, more, kind, alike, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), ccc, np.array(sorted(more), np.int64)
+    made = [pairs[k] for k in keys.tolist()]
+    return one, Offsets(more), kind, alike, keys, np.array(made, np.int64), ccc, Offsets({code: unicodedata.normalize("NFD", chr(code)) for code in made})
+
+
+class Offsets:
+    """Texts of code points as one array with an offset for each code: the first sign of each, and the signs beyond it."""
+
+    def __init__(self, texts: dict[int, str]):
+        self.first = np.arange(_SIZE, dtype=np.int64)
+        counts = np.zeros(_SIZE + 1, np.int64)
+        for code, text in texts.items():
+            self.first[code], counts[code + 1] = ord(text[0]), len(text) - 1
+        self.begin = np.cumsum(counts)
+        self.signs = np.array([ord(c) for code in sorted(texts) for c in texts[code][1:]], np.int64)
+
+    def inserted(self, points: np.ndarray, row: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """points and rows with the further signs of codes put in after the places at."""
+        n = self.begin[codes + 1] - self.begin[codes]
+        where = np.repeat(at + 1, n)
+        signs = self.signs[np.repeat(self.begin[codes], n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)]
+        return np.insert(points, where, signs), np.insert(row, where, np.repeat(row[at], n))
 
 
 def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> list[tuple[int, int]]:
@@ -124,18 +150,15 @@ def to_strings(points: np.ndarray, row: np.ndarray, rows: int, valid: np.ndarray
 
 def _compose(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Composes base and mark where the two stand together, or only marks of a lower class stand between, until none is left."""
-    _, _, _, _, keys, made, ccc, _ = _tables()
+    _, _, _, _, keys, made, ccc, parts = _tables()
     small = np.minimum(points, _SIZE - 1)
     if len(points) and ccc[small].any():
         # A composed letter before a mark is taken apart, so that marks come into canonical order.
         apart = np.flatnonzero(np.isin(points, made) & np.r_[(ccc[small[1:]] > 0) & (row[1:] == row[:-1]), False])
         if len(apart):
-            texts = [unicodedata.normalize("NFD", chr(c)) for c in points[apart].tolist()]
-            more = [[ord(c) for c in t[1:]] for t in texts]
-            points = points.copy()
-            points[apart] = [ord(t[0]) for t in texts]
-            where = np.repeat(apart + 1, [len(m) for m in more])
-            points, row = np.insert(points, where, [c for m in more for c in m]), np.insert(row, where, row[where - 1])
+            codes, points = points[apart], points.copy()
+            points[apart] = parts.first[codes]
+            points, row = parts.inserted(points, row, apart, codes)
             small = np.minimum(points, _SIZE - 1)
         # Marks of one run by class, stable.
         classes = ccc[small]
@@ -210,7 +233,7 @@ def consistent(texts: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts.cast(pa.string()), odd, _consistent_slices(texts.filter(odd)))
 
 
-#: Signs that may have another form: all but composed Latin ones.
+#: Signs that may have another form, or stand beside such a mark: all but composed Latin ones.
 _ODD = r"[^\x00-\x{9f}\x{a1}-\x{ac}\x{ae}-\x{24f}]"
 
 
@@ -220,20 +243,17 @@ def _consistent_slices(texts: pa.Array) -> pa.Array:
 
 
 def _consistent(texts: pa.Array) -> pa.Array:
-    one, more, *_, expands = _tables()
+    one, more, *_ = _tables()
     valid = pc.is_valid(texts).to_numpy(zero_copy_only=False)
     points, lengths = code_points(texts)
     if not len(points) or int(points.max()) < 0x80:
         return texts
     row = np.repeat(np.arange(len(texts)), lengths)
     small = np.minimum(points, _SIZE - 1)
-    at = np.flatnonzero(np.isin(small, expands)) if len(expands) else np.zeros(0, np.int64)
-    extra = [(i, more[int(points[i])][1:]) for i in at.tolist()]
+    at = np.flatnonzero((more.begin[small + 1] > more.begin[small]) & (points < _SIZE))
     points = np.where(points < _SIZE, one[small], points)
-    if extra:
-        where = np.repeat([i + 1 for i, _ in extra], [len(t) for _, t in extra])
-        points = np.insert(points, where, [ord(c) for _, t in extra for c in t])
-        row = np.insert(row, where, row[where - 1])
+    if len(at):
+        points, row = more.inserted(points, row, at, small[at])
     keep = points >= 0
     points, row = points[keep], row[keep]
     points, row = _compose(points, row)

@@ -2,8 +2,9 @@
 
 Prefix dynamic programming. For a byte string, each prefix has exactly one last token that the BPE encoding of the
 prefix can end with; `PrefixTable` stores it, so a text's ids are read off backwards, an append only extends the
-table, and an edit re-encodes from the first changed byte on. Whether a token may follow another is settled by
-re-merging the two tokens' bytes, once per pair of tokens.
+table, and an edit re-encodes near itself: from the first changed byte on until the last tokens are again the old ones
+over as many bytes as any token has, as the rest follows from these alone. Whether a token may follow another is
+settled by re-merging the two tokens' bytes, once per pair of tokens.
 
 A corpus is encoded by pretokens: the vocabulary's published pattern cuts a text, each distinct pretoken is encoded
 once a worker through its prefix table, and the memo is bounded. One narrow pass without a shuffle.
@@ -15,6 +16,7 @@ of any length. A special token's string is ordinary text. Repeated rows count ea
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -22,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from docflow.session import pick, spread
@@ -32,6 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pretokens that a worker remembers; beyond, the memo is cleared and built anew.
 MEMO = 500_000
+#: Pairs of tokens whose test a worker remembers; beyond, they are cleared too.
+PAIRS = 1_000_000
 
 
 class Vocabulary:
@@ -66,6 +71,8 @@ class Vocabulary:
         """Whether the two tokens stand side by side in an encoding."""
         known = self._follows.get((before, after))
         if known is None:
+            if len(self._follows) >= PAIRS:
+                self._follows.clear()
             known = self._follows[before, after] = self.merge(self.bytes[before] + self.bytes[after]) == [before, after]
         return known
 
@@ -95,7 +102,8 @@ def _pattern() -> regex.Pattern:
 
 @cache
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
-    return Vocabulary(path)
+    """The vocabulary at a path of this machine, else from the copy that encode() sent to the workers."""
+    return Vocabulary(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
 
 
 class PrefixTable:
@@ -107,24 +115,35 @@ class PrefixTable:
 
     def append(self, data: bytes) -> PrefixTable:
         """Adds bytes at the end; the stored prefixes stay valid, so only the new ones are worked out."""
-        vocab, last = self.vocab, self.last
-        begin, self.data = len(self.data), self.data + data
-        text = self.data
-        for end in range(begin + 1, len(text) + 1):
-            for n in vocab.lengths(text, end):
-                if n > end:
-                    continue
-                token = vocab.ranks.get(text[end - n : end])
-                if token is not None and (n == end or vocab.follows(last[end - n - 1], token)):
-                    last.append(token)
-                    break
+        self.data += data
+        while len(self.last) < len(self.data):
+            self._extend()
         return self
 
+    def _extend(self) -> None:
+        """The last token of the next prefix."""
+        vocab, last, text = self.vocab, self.last, self.data
+        end = len(last) + 1
+        for n in vocab.lengths(text, end):
+            if n > end:
+                continue
+            token = vocab.ranks.get(text[end - n : end])
+            if token is not None and (n == end or vocab.follows(last[end - n - 1], token)):
+                last.append(token)
+                return
+        raise ValueError("the vocabulary lacks a byte")
+
     def edit(self, at: int, removed: int, inserted: bytes = b"") -> PrefixTable:
-        """Replaces bytes; prefixes before the edit are kept, those from it on are worked out again."""
-        tail = self.data[at + removed :]
-        self.data, self.last = self.data[:at], self.last[:at]
-        return self.append(inserted + tail)
+        """Replaces bytes. Prefixes before the edit are kept; beyond it they are worked out until they are the old ones again."""
+        old = self.last[at + removed :]
+        self.data, self.last = self.data[:at] + inserted + self.data[at + removed :], self.last[:at]
+        begin, same = at + len(inserted), 0
+        while len(self.last) < len(self.data) and same < self.vocab.longest:
+            self._extend()
+            k = len(self.last) - begin
+            same = same + 1 if k > 0 and self.last[-1] == old[k - 1] else 0
+        self.last += old[len(self.last) - begin :]
+        return self
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -150,5 +169,7 @@ def _encoder(key: str, text: str, path: str):
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """key, ids of each document as stored, without special tokens."""
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
     kept = spread(pick(documents, key, text))
     return kept.mapInArrow(_encoder(key, text, path), f"{key} {kept.schema[key].dataType.simpleString()}, ids array<int>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm import characters as C
 
-POOL = "aeoAOäöåẹéﬁﬀＡｂ½№KÅÀḋ" + "".join(map(chr, (0x301, 0x308, 0x30A, 0x323, 0x304, 0x313, 0x340, 0x344, 0x200B, 0xAD, 0xA0, 0x2003, 0x3000, 0xFEFF, 0x1100, 0x1161, 0x11A8)))
+POOL = "Ⅻⅼ𝐀aeoAOäöåẹéﬁﬀＡｂ½№KÅÀḋ" + "".join(map(chr, (0x301, 0x308, 0x30A, 0x323, 0x304, 0x313, 0x340, 0x344, 0x200B, 0xAD, 0xA0, 0x2003, 0x3000, 0xFEFF, 0x1100, 0x1161, 0x11A8)))
 
 
 def plain(text: str) -> str:
@@ -19,7 +19,7 @@ def plain(text: str) -> str:
             continue
         if unicodedata.category(c) == "Zs":
             out.append(" ")
-        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<noBreak>")) or 0xFB00 <= ord(c) <= 0xFB06:
+        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<noBreak>")) or 0xFB00 <= ord(c) <= 0xFB06 or 0x2160 <= ord(c) <= 0x217F or 0x1D400 <= ord(c) <= 0x1D7FF:
             out.append(unicodedata.normalize("NFKC", c))
         else:
             out.append(c)
@@ -43,6 +43,14 @@ def test_foreign_letter_without_double_is_inconsistent() -> None:
     assert C.is_inconsistent.func(pa.array(["gжrd", "gard"])).to_pylist() == [True, False]
 
 
+def test_letters_of_further_scripts_and_phonetic_ones() -> None:
+    """Those that print like a Latin letter become it; all others in a Latin word are reported and stay."""
+    texts = ["Armeniօ", "Ꭺnders", "ꓮnders", "𝐀nders", "ⅼars Ⅻ", "ᴀnders", "ɩngen", "schwə", "日本abc", "ᎪᎡ", "ꓮꓐ", "µm ℓ", "1º ª", "հայ", "N⁰ aᵒ"]
+    form = ["Armenio", "Anders", "Anders", "Anders", "lars XII", "ᴀnders", "ɩngen", "schwə", "日本abc", "ᎪᎡ", "ꓮꓐ", "µm ℓ", "1º ª", "հայ", "N⁰ aᵒ"]
+    assert C.consistent(pa.array(texts)).to_pylist() == form
+    assert C.is_inconsistent.func(pa.array(texts)).to_pylist() == [True] * 9 + [False] * 6
+
+
 def test_nulls_empties_long_texts_and_slices() -> None:
     long = "Kåtböle ​" * 200_000
     got = C.consistent(pa.array([None, "", long, "x", None])).to_pylist()

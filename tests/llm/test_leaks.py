@@ -47,15 +47,36 @@ def test_against_brute_force() -> None:
     assert got == want and want
 
 
-def test_seven_exact_words_suffice() -> None:
-    """The promise of the masks: any seven of fifteen words may be the exact ones."""
+def test_runs_are_found_however_many_words_are_misread() -> None:
     random.seed(12)
     item = [f"ord{chr(97 + k)}{chr(110 + k % 5)}" for k in range(15)]
     index = K.SeedIndex([(1, " ".join(item))])
-    for _ in range(200):
-        exact = set(random.sample(range(15), 7))
-        doc = [w if k in exact else w[:-1] + "q" for k, w in enumerate(item)]
-        assert len(index.found([["foo", *doc, "bar"]], 15)[0]) == 1
+    for n in range(16):
+        for _ in range(20):
+            wrong = set(random.sample(range(15), n))
+            doc = [misread(w) if k in wrong else w for k, w in enumerate(item)]
+            assert len(index.found([["foo", *doc, "bar"]], 15)[0]) == 1
+    assert len(index.found([[w + "xx" if k == 7 else w for k, w in enumerate(item)]], 15)[0]) == 0
+
+
+def test_short_words_and_few_hits_at_once(monkeypatch) -> None:
+    """Words of one and two letters, which are all a letter apart, a few seeds at a time; against brute force."""
+    random.seed(13)
+    monkeypatch.setattr(K, "HITS", 50)
+    short = ["i", "å", "ö", "en", "in", "vi", "av", "at", "och", "den"]
+    items = [[random.choice(short) for _ in range(random.randint(15, 25))] for _ in range(4)]
+    docs = [[random.choice(short) for _ in range(20)] + [misread(w) for w in items[0][:15]] for _ in range(3)] + [[random.choice(short) for _ in range(40)] for _ in range(10)]
+    index = K.SeedIndex([(k, " ".join(i)) for k, i in enumerate(items)])
+    got = set(zip(*(x.tolist() for x in index.found(docs, 15)), strict=True))
+    assert got == {(d, k) for d, doc in enumerate(docs) for k, item in enumerate(items) if brute(doc, item) >= 15}
+
+
+def test_several_blocks_in_a_pass(spark, monkeypatch) -> None:
+    monkeypatch.setattr(K, "BLOCK_WORDS", 60)
+    random.seed(14)
+    items = [(k, " ".join(random.choice(WORDS) + str(k) for _ in range(20))) for k in range(30)]
+    documents = spark.createDataFrame([(k, "inledning " + items[k][1] + " slut") for k in range(30)], "doc_id long, text string")
+    assert sorted(map(tuple, K.leaked(documents, spark.createDataFrame(items, "item_id long, text string")).collect())) == [(k, k) for k in range(30)]
 
 
 def test_words_in_one_form() -> None:

@@ -28,6 +28,32 @@ def test_equals_the_library(library) -> None:
     assert vocab.encode(long) == library.encode(long, add_special_tokens=False).ids
 
 
+def test_edits_work_out_what_is_near(monkeypatch) -> None:
+    """One pretoken of 20,000 bytes: an edit anywhere gives the ids of the whole, and works out a few hundred prefixes."""
+    random.seed(9)
+    vocab = T.vocabulary()
+    data = bytes(random.choices(b"abcdehsu\xc3\xa5\xa4 ", k=20_000))
+    table, n, extend = T.PrefixTable(vocab, data), [0], T.PrefixTable._extend
+
+    def counted(self) -> None:
+        n[0] += 1
+        extend(self)
+
+    for at in (0, 7, 9_000, 19_990, 20_000):
+        monkeypatch.setattr(T.PrefixTable, "_extend", counted)
+        n[0] = 0
+        table.edit(at, 3, b"zq")
+        monkeypatch.setattr(T.PrefixTable, "_extend", extend)
+        data = data[:at] + b"zq" + data[at + 3 :]
+        assert table.data == data and table.last == T.PrefixTable(vocab, data).last and n[0] <= 3 * vocab.longest
+
+
+def test_pairs_are_bounded(monkeypatch) -> None:
+    monkeypatch.setattr(T, "PAIRS", 10)
+    vocab = T.Vocabulary(T.VOCABULARY)
+    assert vocab.merge(b"abcdefghij") == T.PrefixTable(vocab, b"abcdefghij").ids() and len(vocab._follows) <= 10
+
+
 def test_prefix_table_appends_and_edits() -> None:
     random.seed(6)
     vocab = T.vocabulary()
