@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.text import compared_words
+
 METRICS = ("cer", "wer", "bow_hits", "bow_extras")
 
 
@@ -36,35 +38,21 @@ def parse(text: Column) -> Column:
     return ratio(parts[0], parts[1])
 
 
-def words(text: Column) -> Column:
-    """White-space separated tokens; none for a blank text."""
-    return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
-
-
 def cer(truth: Column, read: Column) -> Column:
     """Character errors over the characters of the truth."""
     return ratio(F.levenshtein(truth, read), F.length(truth))
 
 
 def wer(truth: Column, read: Column) -> Column:
-    """Word errors over the words of the truth.
-
-    Each distinct word becomes one code point, so the built-in levenshtein counts words; beyond 55,000 distinct words
-    in a pair the code points would meet the surrogates, and the result is null.
-    """
-    t, r = words(truth), words(read)
-    vocabulary = F.array_distinct(F.concat(t, r))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.lit(255) + F.array_position(vocabulary, w)).cast("long")), 4, "0")), "UTF-16BE")
-    recoded = lambda ws: F.array_join(F.transform(ws, code), "")
-    return F.when(F.size(vocabulary) <= 55_000, ratio(F.levenshtein(recoded(t), recoded(r)), F.size(t)))
+    """Word errors over the words of the truth: the built-in levenshtein over texts with a character for each word."""
+    words = compared_words(truth, read)
+    return ratio(F.levenshtein(words["truth"], words["read"]), words["n_truth"])
 
 
 def bag_of_words(truth: Column, read: Column) -> tuple[Column, Column]:
     """Hits: words of the truth that were read, over its words. Extras: words read beyond the truth, over the words read. Both as multisets."""
-    t, r = words(truth), words(read)
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    hits = F.aggregate(F.array_distinct(t), F.lit(0), lambda n, w: n + F.least(count(t, w), count(r, w)))
-    return ratio(hits, F.size(t)), ratio(F.size(r) - hits, F.size(r))
+    words = compared_words(truth, read)
+    return ratio(words["hits"], words["n_truth"]), ratio(words["n_read"] - words["hits"], words["n_read"])
 
 
 def ocr_metrics(truth: Column, read: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Keeps the shares of empty masks finite (fixed value).
 _EPS = 1e-10
 
 
@@ -52,9 +53,10 @@ def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _absorbs(kept: np.ndarray, box: np.ndarray, iou: float, cover: float) -> np.ndarray:
     """Which kept boxes take the box in: IoU above iou, or the smaller of the two covered to `cover`; of equal ones the kept counts as smaller."""
-    sides = np.minimum(kept[:, 2:], box[2:]) - np.maximum(kept[:, :2], box[:2])
-    common = np.prod(np.maximum(sides, 0), axis=1)
-    own, other = np.prod(box[2:] - box[:2]), np.prod(kept[:, 2:] - kept[:, :2], axis=1)
+    x1, y1, x2, y2 = kept.T
+    a1, b1, a2, b2 = box
+    common = np.maximum(np.minimum(x2, a2) - np.maximum(x1, a1), 0) * np.maximum(np.minimum(y2, b2) - np.maximum(y1, b1), 0)
+    own, other = (a2 - a1) * (b2 - b1), (x2 - x1) * (y2 - y1)
     small, union = np.where(own < other, own, other), own + other - common
     share = lambda whole: np.divide(common, whole, out=np.zeros(len(kept)), where=whole != 0)
     return (share(union) > iou) | (share(small) >= cover)
@@ -64,17 +66,19 @@ def merge_boxes(boxes: np.ndarray, iou: float = 0.2, cover: float = 0.5) -> np.n
     """Boxes merged in passes until a pass merges none: each box goes into the first kept box that absorbs it, else it is kept."""
     boxes = np.asarray(boxes, float).reshape(-1, 4)
     while True:
-        kept = np.empty((0, 4))
+        kept, n = np.empty_like(boxes), 0
         for box in boxes:
-            takers = np.flatnonzero(_absorbs(kept, box, iou, cover))
-            if len(takers):
-                into = kept[takers[0]]
-                kept[takers[0]] = np.r_[np.minimum(into[:2], box[:2]), np.maximum(into[2:], box[2:])]
+            takes = _absorbs(kept[:n], box, iou, cover)
+            first = int(takes.argmax()) if n else 0
+            if n and takes[first]:
+                np.minimum(kept[first, :2], box[:2], out=kept[first, :2])
+                np.maximum(kept[first, 2:], box[2:], out=kept[first, 2:])
             else:
-                kept = np.vstack([kept, box])
-        if len(kept) == len(boxes):
+                kept[n] = box
+                n += 1
+        if n == len(boxes):
             return kept
-        boxes = kept
+        boxes = kept[:n]
 
 
 def rasterise(polygon: np.ndarray, width: int, height: int) -> np.ndarray:

@@ -23,6 +23,14 @@ def text_of(lines: DataFrame, group: list[str], order: list[str], text: str, sep
     return lines.groupBy(*group).agg(F.array_join(F.transform(parts, lambda p: p["_text"]), separator).alias(text))
 
 
+def texts_of(lines: DataFrame, group: list[str], order: list[str], *texts: str, separator: str = " ") -> DataFrame:
+    """As text_of for several texts of a line at once."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, *(F.col(t).alias(f"_{i}") for i, t in enumerate(texts)))))
+    joined = lines.groupBy(*group).agg(rows.alias("_rows"))
+    part = lambda i: F.array_join(F.transform("_rows", lambda r: r[f"_{i}"]), separator)
+    return joined.select(*group, *(part(i).alias(t) for i, t in enumerate(texts)))
+
+
 def score_text(pairs: DataFrame, group: list[str], truth: Column, read: Column) -> DataFrame:
     """Micro-averaged metrics of a group: each metric's parts are summed, then divided."""
     return pairs.withColumn("_m", R.ocr_metrics(truth, read)).groupBy(*group).agg(*R.total_metrics(F.col("_m")))
@@ -47,6 +55,14 @@ def matched_annotations(annotations: DataFrame, detections: DataFrame, page: str
     return a.join(d, (F.col(f"a.{page}") == F.col("d._page")) & (union > 0) & (overlap >= F.lit(least) * union), "left_semi")
 
 
+def matching_pairs(annotations: DataFrame, detections: DataFrame, page: str, keys: list[str], least: float = 0.5) -> DataFrame:
+    """a, d: keys of the annotations and detections of a page with IoU `least` or more, by an equi-join on the page."""
+    sides = [df.select(F.col(page).alias("_page"), F.struct(*keys).alias(name), F.col("box").alias(f"_{name}")) for df, name in ((annotations, "a"), (detections, "d"))]
+    overlap = G.intersection_area(F.col("_a"), F.col("_d"))
+    union = G.area(F.col("_a")) + G.area(F.col("_d")) - overlap
+    return sides[0].join(sides[1], "_page").where((union > 0) & (overlap >= F.lit(least) * union)).select("a", "d")
+
+
 def unmatched_annotations(annotations: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
     return annotations.join(matched.select(*keys), keys, "left_anti")
 
@@ -57,12 +73,11 @@ def detection_scores(annotations: DataFrame, detections: DataFrame, page: str, k
     ref_precision counts unmatched annotations in place of stray detections, which makes it 1 whenever anything matches;
     precision, recall and f1 are the usual ones. keys: identifies a row on either side.
     """
-    n = annotations.agg(F.count("*").alias("n_annotations"))
-    m = matched_annotations(annotations, detections, page, least).agg(F.count("*").alias("n_found"))
-    d = detections.agg(F.count("*").alias("n_detections"))
-    k = matched_annotations(detections, annotations, page, least).agg(F.count("*").alias("n_correct"))
-    every = n.unionByName(m, True).unionByName(d, True).unionByName(k, True)
-    one = every.agg(*(F.max(c).alias(c) for c in ("n_annotations", "n_found", "n_detections", "n_correct")))
+    pairs = matching_pairs(annotations, detections, page, keys, least)
+    found = pairs.agg(F.countDistinct("a").alias("n_found"), F.countDistinct("d").alias("n_correct"))
+    counted = annotations.select(F.lit(1).alias("n"), F.lit(0).alias("m")).union(detections.select(F.lit(0), F.lit(1)))
+    sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_annotations"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_detections"))
+    one = sizes.crossJoin(F.broadcast(found))  # a row each
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     recall, precision = share("n_found", "n_annotations"), share("n_correct", "n_detections")
     mean = lambda p, r: F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
@@ -70,19 +85,36 @@ def detection_scores(annotations: DataFrame, detections: DataFrame, page: str, k
     return one.select("*", exact.alias("ref_precision"), recall.alias("ref_recall"), mean(exact, recall).alias("ref_f1"), precision.alias("precision"), recall.alias("recall"), mean(precision, recall).alias("f1"))
 
 
-def cells(boxes: DataFrame, page: str, side: int) -> DataFrame:
-    """The grid cells of `side` pixels that each page's boxes touch, each once."""
+#: Columns of a grid that one bigint holds as bits.
+_BITS = 63
+
+
+def grid_rows(boxes: DataFrame, page: str, side: int, columns: int) -> DataFrame:
+    """page, cy, bits: for each row of cells of `side` pixels that a box touches, the columns it touches as bits of as many bigints as `columns` take."""
     x1, y1, x2, y2 = G.corners(F.col("box"))
-    span = lambda low, high: F.sequence(F.floor(low / side).cast("int"), F.floor((high - 1) / side).cast("int"))
+    span = lambda low, high: (F.floor(low / side).cast("int"), F.floor((high - 1) / side).cast("int"))
+    (low, high), rows = span(x1, x2), span(y1, y2)
+
+    def bits(word: int) -> Column:
+        first, last = F.greatest(low - word * _BITS, F.lit(0)), F.least(high - word * _BITS, F.lit(_BITS - 1))
+        ones = F.call_function("shiftright", F.lit((1 << _BITS) - 1), F.lit(_BITS - 1) - last + first)
+        return F.when(first <= last, F.call_function("shiftleft", ones, first)).otherwise(F.lit(0).cast("long"))
+
     whole = boxes.where((x2 > x1) & (y2 > y1))
-    return whole.select(page, F.explode(span(x1, x2)).alias("cx"), span(y1, y2).alias("ys")).select(page, "cx", F.explode("ys").alias("cy")).distinct()
+    return whole.select(page, F.explode(F.sequence(*rows)).alias("cy"), *(bits(w).alias(f"b{w}") for w in range(-(-columns // _BITS))))
 
 
-def cell_scores(truth: DataFrame, read: DataFrame, page: str, size: int) -> DataFrame:
-    """Mask scores of each page's cells on a grid of `size` cells in all: coverage, IoU, Dice, pixel accuracies."""
-    both = truth.withColumn("t", F.lit(1)).join(read.withColumn("p", F.lit(1)), [page, "cx", "cy"], "full")
-    n = lambda c: F.count_if(c).cast("double")
-    counts = both.groupBy(page).agg(n(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), n(F.col("t").isNotNull()).alias("g"), n(F.col("p").isNotNull()).alias("p"))
+def cell_scores(truth: DataFrame, read: DataFrame, page: str, side: int, columns: int, rows: int) -> DataFrame:
+    """Mask scores of each page's boxes on a grid of cells of `side` pixels: coverage, IoU, Dice, pixel accuracies.
+
+    A row of cells is a few bigints, so boxes are joined by bit_or with a partial step: what moves is rows of cells, not cells.
+    """
+    words = range(-(-columns // _BITS))
+    sides = [grid_rows(boxes, page, side, columns).select(page, "cy", *((F.col(f"b{w}") if own == name else F.lit(0).cast("long")).alias(f"{own}{w}") for own in "tp" for w in words)) for boxes, name in ((truth, "t"), (read, "p"))]
+    joined = sides[0].union(sides[1]).groupBy(page, "cy").agg(*(F.bit_or(f"{own}{w}").alias(f"{own}{w}") for own in "tp" for w in words))
+    count = lambda bits: F.sum(sum((F.bit_count(bits(w)) for w in words), F.lit(0))).cast("double")
+    counts = joined.groupBy(page).agg(count(lambda w: F.col(f"t{w}").bitwiseAND(F.col(f"p{w}"))).alias("tp"), count(lambda w: F.col(f"t{w}")).alias("g"), count(lambda w: F.col(f"p{w}")).alias("p"))
+    size = columns * rows
     tp, g, p, none = F.col("tp"), F.col("g"), F.col("p"), F.lit(float(size)) - F.col("g") - F.col("p") + F.col("tp")
     return counts.select(
         page,

@@ -1,7 +1,8 @@
 """Queries over the driver's tables for every operator of the document model, with their SQL.
 
 text_lines stands for annotated lines (bbox, polygon, transcription); detections are its boxes moved by
-(line_pk % 40, line_pk % 24) and read texts are its ASCII transcriptions with two letter pairs changed, in both engines.
+(line_pk % 40, line_pk % 24) and read texts are its transcriptions with two letter pairs changed, in both engines. As the
+SQL engine's levenshtein compares bytes, its texts are first recoded to a byte for each different code point.
 """
 
 from __future__ import annotations
@@ -42,18 +43,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(lines, "page")
 
 
-def _ascii(text: Column) -> Column:
-    return F.regexp_replace(text, "[^ -~]", "")
-
-
 def _read(text: Column) -> Column:
-    return F.replace(F.replace(_ascii(text), F.lit("an"), F.lit("a")), F.lit("er"), F.lit("or"))
+    return F.replace(F.replace(text, F.lit("an"), F.lit("a")), F.lit("er"), F.lit("or"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with truth and read text."""
     lines = _lines(spark, sf_dir).where("transcription is not null")
-    return lines.withColumns({"truth": _ascii(F.col("transcription")), "read": _read(F.col("transcription"))})
+    return lines.withColumns({"truth": F.col("transcription"), "read": _read(F.col("transcription"))})
 
 
 def _detections(lines: DataFrame) -> DataFrame:
@@ -65,18 +62,27 @@ def _round(c: Column | str, digits: int = 9) -> Column:
     return F.round(c, digits)
 
 
-_TEXTS = r"""t AS (SELECT line_pk, img_filename AS page, img_volume AS volume, unique_key AS key,
-  regexp_replace(transcription, '[^ -~]', '', 'g') AS truth,
-  replace(replace(regexp_replace(transcription, '[^ -~]', '', 'g'), 'an', 'a'), 'er', 'or') AS read FROM text_lines WHERE transcription IS NOT NULL)"""
-_WORDS = _TEXTS + r""", w AS (SELECT *, list_filter(string_split(truth, ' '), lambda x: x <> '') AS tw, list_filter(string_split(read, ' '), lambda x: x <> '') AS rw FROM t)"""
+_TEXTS = r"""t AS (SELECT line_pk, img_filename AS page, img_volume AS volume, unique_key AS key, transcription AS truth,
+  replace(replace(transcription, 'an', 'a'), 'er', 'or') AS read FROM text_lines WHERE transcription IS NOT NULL)"""
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_WORDS = _TEXTS + rf""", w AS (SELECT *, list_filter(string_split_regex(truth, '{_SPACES}'), lambda x: x <> '') AS tw, list_filter(string_split_regex(read, '{_SPACES}'), lambda x: x <> '') AS rw FROM t)"""
+
+
+def _distance(a: str, b: str) -> str:
+    """SQL of the edit distance in code points of two texts with at most 127 different ones."""
+    signs = f"list_distinct(list_concat(string_split({a}, ''), string_split({b}, '')))"
+    recoded = [f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(CAST(list_position({signs}, c) AS INT))), '')" for x in (a, b)]
+    return f"levenshtein({recoded[0]}, {recoded[1]})"
+
+
 _BOXES = """b AS (SELECT line_pk, img_filename AS page, region_id, bbox[1] AS x1, bbox[2] AS y1, bbox[3] AS x2, bbox[4] AS y2 FROM text_lines),
 d AS (SELECT line_pk, page, CAST(x1 + line_pk % 40 AS INT) AS x1, CAST(y1 + line_pk % 24 AS INT) AS y1, CAST(x2 + line_pk % 40 AS INT) AS x2, CAST(y2 + line_pk % 24 AS INT) AS y2 FROM b)"""
 
 # --- transcription metrics -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_TEXTS} SELECT volume, CAST(sum(levenshtein(truth, read)) AS BIGINT) AS errors, CAST(sum(length(truth)) AS BIGINT) AS characters,
-round(CASE WHEN sum(length(truth)) = 0 THEN 0.0 ELSE CAST(sum(levenshtein(truth, read)) AS DOUBLE) / sum(length(truth)) END, 9) AS cer FROM t GROUP BY volume""")
+@query(f"""WITH {_TEXTS}, e AS (SELECT volume, {_distance("truth", "read")} AS e, length(truth) AS n FROM t)
+SELECT volume, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS characters, round(CASE WHEN sum(n) = 0 THEN 0.0 ELSE CAST(sum(e) AS DOUBLE) / sum(n) END, 9) AS cer FROM e GROUP BY volume""")
 def cer_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: micro-averaged character error rate of each volume (A1, M1)."""
     scored = _texts(spark, sf_dir).groupBy("volume").agg(R.total(R.cer(F.col("truth"), F.col("read"))).alias("m"))
@@ -84,7 +90,7 @@ def cer_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_WORDS}, v AS (SELECT *, list_distinct(list_concat(tw, rw)) AS voc FROM w),
-c AS (SELECT volume, len(tw) AS n, levenshtein(array_to_string(list_transform(tw, lambda x: chr(33 + CAST(list_position(voc, x) AS INT))), ''), array_to_string(list_transform(rw, lambda x: chr(33 + CAST(list_position(voc, x) AS INT))), '')) AS e FROM v)
+c AS (SELECT volume, len(tw) AS n, levenshtein(array_to_string(list_transform(tw, lambda x: chr(CAST(list_position(voc, x) AS INT))), ''), array_to_string(list_transform(rw, lambda x: chr(CAST(list_position(voc, x) AS INT))), '')) AS e FROM v)
 SELECT volume, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY volume""")
 def wer_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors (M1): levenshtein over words recoded to code points."""
@@ -102,16 +108,15 @@ def bow_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("volume", F.col("h.a").alias("hits"), F.col("h.b").alias("words"), F.col("e.a").alias("extras"), F.col("e.b").alias("words_read"))
 
 
-@query(r"""WITH t AS (SELECT img_volume AS volume, coalesce(regexp_replace(transcription, '[^ -~]', '', 'g'), '') AS truth,
-CASE WHEN line_pk % 7 = 0 THEN '' ELSE coalesce(replace(replace(regexp_replace(transcription, '[^ -~]', '', 'g'), 'an', 'a'), 'er', 'or'), '') END AS read FROM text_lines),
-m AS (SELECT volume, CASE WHEN truth = '' AND read = '' THEN 0 WHEN truth = '' OR read = '' THEN greatest(length(truth), length(read)) ELSE levenshtein(read, truth) END AS a,
+@query(f"""WITH t AS (SELECT img_volume AS volume, coalesce(transcription, '') AS truth, CASE WHEN line_pk % 7 = 0 THEN '' ELSE coalesce(replace(replace(transcription, 'an', 'a'), 'er', 'or'), '') END AS read FROM text_lines),
+m AS (SELECT volume, CASE WHEN truth = '' AND read = '' THEN 0 WHEN truth = '' OR read = '' THEN greatest(length(truth), length(read)) ELSE {_distance("read", "truth")} END AS a,
 CASE WHEN truth = '' AND read = '' THEN 0 WHEN truth = '' OR read = '' THEN greatest(length(truth), length(read)) ELSE length(read) END AS b FROM t)
 SELECT volume, CAST(sum(a) AS BIGINT) AS cer_a, CAST(sum(b) AS BIGINT) AS cer_b FROM m GROUP BY volume""")
 def line_edge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line metrics with the rules for empty lines, divided by the read text (M2)."""
     lines = _lines(spark, sf_dir)
     read = F.when(F.col("line_pk") % 7 == 0, "").otherwise(F.coalesce(_read(F.col("transcription")), F.lit("")))
-    scored = metrics.score_lines(lines, ["volume"], F.coalesce(_ascii(F.col("transcription")), F.lit("")), read)
+    scored = metrics.score_lines(lines, ["volume"], F.coalesce(F.col("transcription"), F.lit("")), read)
     return scored.select("volume", F.col("cer.a").alias("cer_a"), F.col("cer.b").alias("cer_b"))
 
 
@@ -122,17 +127,18 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.text_of(lines, ["page"], ["key", "line_pk"], "transcription").withColumnRenamed("transcription", "text")
 
 
-@query(f"""WITH {_TEXTS}, p AS (SELECT page, string_agg(truth, ' ' ORDER BY key, line_pk) AS truth, string_agg(read, ' ' ORDER BY key, line_pk) AS read FROM t GROUP BY page)
-SELECT page, concat(levenshtein(truth, read), '/', length(truth)) AS cer_str, round(CASE WHEN length(truth) = 0 THEN 0.0 ELSE CAST(levenshtein(truth, read) AS DOUBLE) / length(truth) END, 4) AS cer_float FROM p""")
+@query(f"""WITH {_TEXTS}, p AS (SELECT page, string_agg(truth, ' ' ORDER BY key, line_pk) AS truth, string_agg(read, ' ' ORDER BY key, line_pk) AS read FROM t GROUP BY page),
+e AS (SELECT page, truth, read, {_distance("truth", "read")} AS e, length(truth) AS n FROM p)
+SELECT page, read AS hypothesis, truth AS reference, concat(e, '/', n) AS cer_str, round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(e AS DOUBLE) / n END, 4) AS cer_float FROM e""")
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character errors of whole pages, as a fraction and a rounded value."""
-    lines = _texts(spark, sf_dir)
-    truth, read = (metrics.text_of(lines, ["page"], ["key", "line_pk"], c) for c in ("truth", "read"))
-    scored = metrics.join_pages(truth, read).select("page", R.cer(F.col("truth"), F.col("read")).alias("m"))
-    return scored.select("page", R.fraction(F.col("m")).alias("cer_str"), _round(R.value(F.col("m")), 4).alias("cer_float"))
+    """Character errors of whole pages, written with both texts as a fraction and a value and read back."""
+    path = _fresh(spark, "metrics")
+    scored = metrics.texts_of(_texts(spark, sf_dir), ["page"], ["key", "line_pk"], "truth", "read").select("page", F.col("read").alias("hypothesis"), F.col("truth").alias("reference"), R.ocr_metrics(F.col("truth"), F.col("read")).alias("m"))
+    sinks.write_page_metrics(scored.select("page", "hypothesis", "reference", "m.*"), path)
+    return spark.read.parquet(path).select("page", "hypothesis", "reference", "cer_str", "cer_float").withColumn("cer_float", _round(F.col("cer_float"), 4))
 
 
-@query(f"""WITH {_TEXTS}, p AS (SELECT volume, levenshtein(truth, read) AS a, length(truth) AS b FROM t)
+@query(f"""WITH {_TEXTS}, p AS (SELECT volume, {_distance("truth", "read")} AS a, length(truth) AS b FROM t)
 SELECT volume, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM p GROUP BY volume""")
 def metrics_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored fractions parsed and summed again."""
@@ -194,11 +200,21 @@ round((tp + 10800 - g - p + tp) / 10800, 9) AS pixel_accuracy, round((tp / (g +
 def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask scores of each page on a grid of 20 pixels."""
     lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
-    scored = metrics.cell_scores(metrics.cells(lines, "page", 20), metrics.cells(_detections(lines), "page", 20), "page", (WIDTH // 20) * (HEIGHT // 20))
+    scored = metrics.cell_scores(lines, _detections(lines), "page", 20, WIDTH // 20, HEIGHT // 20)
     return scored.withColumns({c: _round(c) for c in scored.columns if c != "page"})
 
 
-@query()
+_AREA = """SELECT page, sum((high - low) * (y2 - y1)) AS area FROM (
+  SELECT page, y1, y2, island, min(x1) AS low, max(x2) AS high FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY page, y1 ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT s.page, s.y1, s.y2, o.x1, o.x2, CASE WHEN o.x1 <= max(o.x2) OVER (PARTITION BY s.page, s.y1 ORDER BY o.x1, o.x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+      FROM slabs s JOIN {} o ON o.page = s.page AND o.y1 <= s.y1 AND o.y2 >= s.y2 WHERE o.x2 > o.x1)) GROUP BY page, y1, y2, island) GROUP BY page"""
+
+
+@query(f"""WITH {_BOXES}, u AS (SELECT page, x1, y1, x2, y2 FROM b UNION ALL SELECT page, x1, y1, x2, y2 FROM d), ys AS (SELECT DISTINCT page, y1 AS y FROM u UNION SELECT DISTINCT page, y2 FROM u),
+slabs AS (SELECT page, y AS y1, y2 FROM (SELECT page, y, lead(y) OVER (PARTITION BY page ORDER BY y) AS y2 FROM ys) WHERE y2 IS NOT NULL),
+p AS (SELECT DISTINCT page FROM u), ta AS ({_AREA.format("b")}), da AS ({_AREA.format("d")}), ua AS ({_AREA.format("u")})
+SELECT p.page, CAST(coalesce(ta.area, 0) + coalesce(da.area, 0) - coalesce(ua.area, 0) AS BIGINT) AS covered, CAST(coalesce(ta.area, 0) AS BIGINT) AS area FROM p LEFT JOIN ta USING (page) LEFT JOIN da USING (page) LEFT JOIN ua USING (page)""")
 def box_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact covered and whole area of each page's boxes (M6)."""
     lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
@@ -293,14 +309,14 @@ def yolo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("line_pk", *(_round(c).alias(n) for c, n in zip(shares, ("xc", "yc", "w", "h"), strict=True)))
 
 
-@query()
+@query("""SELECT img_filename AS page, string_agg(concat('0 ', CAST((bbox[1] + bbox[3]) / CAST(2 AS DOUBLE) / 1800 AS VARCHAR), ' ', CAST((bbox[2] + bbox[4]) / CAST(2 AS DOUBLE) / 2400 AS VARCHAR), ' ', CAST((bbox[3] - bbox[1]) / CAST(1800 AS DOUBLE) AS VARCHAR), ' ', CAST((bbox[4] - bbox[2]) / CAST(2400 AS DOUBLE) AS VARCHAR)), chr(10) ORDER BY line_pk) AS label FROM text_lines GROUP BY 1""")
 def yolo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label file of each page as text."""
     lines = _lines(spark, sf_dir).select("page", "line_pk", "box", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
     return sinks.yolo_labels(lines, "page", "line_pk")
 
 
-@query()
+@query("""SELECT img_filename AS page, string_agg(concat('0 ', array_to_string(list_transform(polygon, lambda p: concat(printf('%.6f', CAST(p.x AS DOUBLE) / 1800), ' ', printf('%.6f', CAST(p.y AS DOUBLE) / 2400))), ' ')), chr(10) ORDER BY line_pk) AS label FROM text_lines WHERE polygon IS NOT NULL GROUP BY 1""")
 def yolo_polygon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The polygon label file of each page as text."""
     lines = _lines(spark, sf_dir).where("polygon is not null").select("page", "line_pk", "polygon", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
@@ -388,11 +404,11 @@ def pages_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(_lines(spark, sf_dir).where("transcription <> ''"), "page", "left_semi")
 
 
-@query("""SELECT img_filename AS page, region_id, count(*) AS n_lines FROM text_lines WHERE region_id IS NOT NULL AND len(polygon) >= 3 AND transcription IS NOT NULL GROUP BY img_filename, region_id HAVING count(*) > 1""")
+@query("""SELECT img_filename AS page, region_id, count(*) AS n_lines FROM text_lines WHERE region_id IS NOT NULL AND len(polygon) >= 3 AND transcription IS NOT NULL GROUP BY img_filename, region_id HAVING count(*) > 0""")
 def regions_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with more than one whole line."""
+    """Regions with a whole line."""
     whole = _lines(spark, sf_dir).where("region_id is not null and transcription is not null").where(F.size("polygon") >= 3)
-    return whole.groupBy("page", "region_id").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
+    return whole.groupBy("page", "region_id").agg(F.count("*").alias("n_lines")).where("n_lines > 0")
 
 
 @query("""SELECT line_pk, concat('<OCR>', coalesce(region_id, '')) AS prompt, replace(concat('<pad>', transcription, '<pad>'), '<pad>', '') AS answer FROM text_lines WHERE transcription IS NOT NULL""")
@@ -410,32 +426,37 @@ def pairing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.pairing_report(table(spark, sf_dir, "region_samples").select(F.col("img_filename").alias("k")), table(spark, sf_dir, "page_annotations").select(F.col("img_filename").alias("k")), "k")
 
 
-_MANIFEST = """m AS (SELECT unnest(train) AS name, 0 AS o FROM split_info WHERE scheme = 'mixed' UNION ALL SELECT unnest(val), 1 FROM split_info WHERE scheme = 'mixed' UNION ALL SELECT unnest(test), 2 FROM split_info WHERE scheme = 'mixed')"""
+_MANIFEST = """m AS (SELECT scheme, unnest(train) AS name, 0 AS o FROM split_info UNION ALL SELECT scheme, unnest(val), 1 FROM split_info UNION ALL SELECT scheme, unnest(test), 2 FROM split_info)"""
 
 
-def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = table(spark, sf_dir, "split_info").where("scheme = 'mixed'")
+def _manifest(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
+    listed = table(spark, sf_dir, "split_info").where(F.col("scheme") == scheme)
     return files.unite([listed.select(F.explode(s).alias("name"), F.lit(s).alias("split")) for s in ("train", "val", "test")]).where("name is not null")
 
 
-@query(f"""WITH {_MANIFEST}, s AS (SELECT name, min(o) AS o FROM m WHERE name IS NOT NULL GROUP BY name) SELECT sample_id, CASE o WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM region_samples JOIN s ON img_filename = name""")
+def _schemes(found: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows of both schemes of manifests."""
+    return files.unite([found(s).withColumn("scheme", F.lit(s)) for s in ("mixed", "sbs")])
+
+
+@query(f"""WITH {_MANIFEST}, s AS (SELECT scheme, name, min(o) AS o FROM m WHERE name IS NOT NULL GROUP BY scheme, name) SELECT scheme, sample_id, CASE o WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM region_samples JOIN s ON img_filename = name""")
 def samples_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split that lists each sample's page."""
+    """The split of each scheme that lists a sample's page."""
     samples = table(spark, sf_dir, "region_samples").select("sample_id", F.col("img_filename").alias("name"))
-    return splits.attach(samples, _manifest(spark, sf_dir), "name").select("sample_id", "split")
+    return _schemes(lambda scheme: splits.attach(samples, _manifest(spark, sf_dir, scheme), "name").select("sample_id", "split"))
 
 
-@query(f"""WITH {_MANIFEST}, d AS (SELECT DISTINCT name, o FROM m WHERE name IS NOT NULL) SELECT 'train' AS "left", 'val' AS "right", count(*) AS n_common FROM d a JOIN d b USING (name) WHERE a.o = 0 AND b.o = 1
-UNION ALL SELECT 'train', 'test', count(*) FROM d a JOIN d b USING (name) WHERE a.o = 0 AND b.o = 2 UNION ALL SELECT 'val', 'test', count(*) FROM d a JOIN d b USING (name) WHERE a.o = 1 AND b.o = 2""")
+@query(f"""WITH {_MANIFEST}, d AS (SELECT DISTINCT scheme, name, o FROM m WHERE name IS NOT NULL), c AS (SELECT * FROM (VALUES ('mixed'), ('sbs')) x(scheme), (VALUES (0, 1), (0, 2), (1, 2)) y(l, r))
+SELECT scheme, ['train', 'val', 'test'][l + 1] AS "left", ['train', 'val', 'test'][r + 1] AS "right", (SELECT count(*) FROM d a JOIN d b USING (scheme, name) WHERE a.o = l AND b.o = r AND a.scheme = c.scheme) AS n_common FROM c""")
 def common_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that two splits share."""
-    return splits.common_names(_manifest(spark, sf_dir), "name")
+    """Names that two splits of a scheme share."""
+    return _schemes(lambda scheme: splits.common_names(_manifest(spark, sf_dir, scheme), "name"))
 
 
-@query("""SELECT DISTINCT img_filename AS page FROM text_lines WHERE img_filename NOT IN (SELECT img_filename FROM region_samples)""")
+@query("""SELECT DISTINCT img_filename AS page FROM text_lines WHERE img_filename NOT IN (SELECT img_filename FROM region_samples WHERE img_filename IS NOT NULL AND loaded_at > written_at + INTERVAL 1 DAY)""")
 def unprocessed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without an output."""
-    done = table(spark, sf_dir, "region_samples").select(F.col("img_filename").alias("page"))
+    """Pages without an output, which here is a sample loaded more than a day after it was written."""
+    done = table(spark, sf_dir, "region_samples").where("loaded_at > written_at + interval 1 day").select(F.col("img_filename").alias("page"))
     return records.unprocessed(_lines(spark, sf_dir).select("page").distinct(), done, "page")
 
 
@@ -734,10 +755,10 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT DISTINCT table_name AS stem FROM information_schema.tables""")
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files below the data folder by suffix."""
-    return files.list_files(spark, sf_dir, (".parquet",)).select(records.stem(F.col("path")).alias("stem"), "length")
+    return files.list_files(spark, sf_dir, (".parquet",)).select(records.stem(F.col("path")).alias("stem"))
 
 
 @query()
