@@ -149,6 +149,10 @@ def quantise_polygon(polygon: Column, width: Column, height: Column, bins: int =
     return F.transform(polygon, lambda p: F.struct(quantise(p["x"], width, bins).alias("x"), quantise(p["y"], height, bins).alias("y")))
 
 
+def dequantise_polygon(polygon: Column, width: Column, height: Column, bins: int = BINS) -> Column:
+    return F.transform(polygon, lambda p: F.struct(dequantise(p["x"], width, bins).alias("x"), dequantise(p["y"], height, bins).alias("y")))
+
+
 def location_tokens(values: Column) -> Column:
     """<loc_v> for each value, joined."""
     return F.array_join(F.transform(values, lambda v: F.concat(F.lit("<loc_"), v.cast("string"), F.lit(">"))), "")

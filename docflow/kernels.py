@@ -6,6 +6,8 @@ import numpy as np
 
 #: Keeps the shares of empty masks finite (fixed value).
 _EPS = 1e-10
+#: Places nearer than this are the same one, in pixels.
+_NEAR = 1e-5
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,26 +142,208 @@ def match_masks(read: list[np.ndarray], truth: list[np.ndarray], width: int, hei
     return pairs, sorted(set(range(len(r))) - {j for _, j, _ in pairs}), sorted(set(range(len(t))) - {i for i, _, _ in pairs})
 
 
-def clip_polygon(polygon: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex window (half-plane clipping); the polygon itself where nothing is inside."""
-    out = np.asarray(polygon, float).reshape(-1, 2)
-    window = np.asarray(window, float).reshape(-1, 2)
+def slabs(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[list[list[tuple[int, int]]]], np.ndarray]:
+    """The plane cut at every vertex and crossing of some polygons, so that no edges cross within a slab.
+
+    Returns the heights of the cuts; for each slab and side the intervals (left and right edge) that its polygons cover
+    together, each polygon inside by the even-odd rule; and the edges (x1, y1, x2, y2), rising.
+    """
+    edges, owner = [], []
+    for number, polygon in enumerate(p for side in sides for p in side):
+        points = np.asarray(polygon, float).reshape(-1, 2)
+        edges.append(np.hstack([points, np.roll(points, -1, axis=0)]))
+        owner.append(np.full(len(points), number))
+    edges = np.concatenate([*edges, np.zeros((0, 4))])
+    owner = np.concatenate([*owner, np.zeros(0, int)]).astype(int)
+    rising = edges[:, 1] != edges[:, 3]
+    edges, owner = edges[rising], owner[rising]
+    falls = edges[:, 1] > edges[:, 3]
+    edges[falls] = edges[falls][:, [2, 3, 0, 1]]
+    d = edges[:, 2:] - edges[:, :2]
+    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = edges[None, :, :2] - edges[:, None, :2]
+        t, u = ((gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / cross for e in (d[None, :], d[:, None]))
+        met = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        ys = (edges[:, None, 1] + t * d[:, None, 1])[met]
+    heights = np.unique(np.concatenate([edges[:, [1, 3]].ravel(), ys]))
+    heights = heights[np.r_[True, np.diff(heights) > _NEAR]] if len(heights) else heights
+    of_side = np.repeat(np.arange(len(sides)), [len(side) for side in sides])
+    found = []
+    for low, high in zip(heights[:-1], heights[1:], strict=True):
+        middle = (low + high) / 2
+        here = np.flatnonzero((edges[:, 1] < middle) & (edges[:, 3] > middle))
+        here = here[np.argsort(x_at(edges[here], middle), kind="stable")]
+        covered: list[list[tuple[int, int]]] = [[] for _ in sides]
+        inside, depth, left = set(), [0] * len(sides), [0] * len(sides)
+        for e in here.tolist():
+            side = of_side[owner[e]]
+            inside ^= {owner[e]}
+            depth[side] += 1 if owner[e] in inside else -1
+            if depth[side] == 1 and owner[e] in inside:
+                left[side] = e
+            elif depth[side] == 0:
+                covered[side].append((left[side], e))
+        found.append(covered)
+    return heights, found, edges
+
+
+def x_at(edges: np.ndarray, y: float) -> np.ndarray:
+    return edges[..., 0] + (y - edges[..., 1]) * (edges[..., 2] - edges[..., 0]) / (edges[..., 3] - edges[..., 1])
+
+
+def _common(a: list[tuple[int, int]], b: list[tuple[int, int]], edges: np.ndarray, y: float) -> list[tuple[int, int]]:
+    """Intervals of a slab that two sides share."""
+    out = []
+    for l1, r1 in a:
+        for l2, r2 in b:
+            left = l1 if x_at(edges[l1], y) >= x_at(edges[l2], y) else l2
+            right = r1 if x_at(edges[r1], y) <= x_at(edges[r2], y) else r2
+            if x_at(edges[left], y) < x_at(edges[right], y):
+                out.append((left, right))
+    return out
+
+
+def polygon_coverage(truth: list[np.ndarray], read: list[np.ndarray]) -> tuple[float, float]:
+    """Areas of what the union of read covers of the union of truth, and of the union of truth, exact for any polygons."""
+    heights, found, edges = slabs([truth, read])
+    covered = whole = 0.0
+    for low, high, (t, r) in zip(heights[:-1], heights[1:], found, strict=True):
+        y = (low + high) / 2
+        length = lambda intervals: sum(float(x_at(edges[b], y) - x_at(edges[a], y)) for a, b in intervals)  # noqa: E731, B023
+        whole += (high - low) * length(t)
+        covered += (high - low) * length(_common(t, r, edges, y))
+    return covered, whole
+
+
+def is_convex(points: np.ndarray) -> bool:
+    """Whether a ring turns one way only, and once around."""
+    d = np.roll(points, -1, axis=0) - points
+    d = d[(d != 0).any(axis=1)]
+    if len(d) < 3:
+        return False
+    turn = d[:, 0] * np.roll(d[:, 1], -1) - d[:, 1] * np.roll(d[:, 0], -1)
+    if (turn > 0).any() and (turn < 0).any():
+        return False
+    return abs(float(np.arctan2(turn, (d * np.roll(d, -1, axis=0)).sum(axis=1)).sum())) < 2.5 * np.pi
+
+
+def _clip_convex(polygon: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """clip_polygon for convex shapes, a half-plane at a time."""
     x, y = window[:, 0], window[:, 1]
     if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() < 0:
         window = window[::-1]
+    out = polygon
     for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
-        if not len(out):
-            break
         side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        kept = []
-        for k in range(len(out)):
-            before = k - 1
-            if side[k] * side[before] < 0:
-                kept.append(out[before] + (out[k] - out[before]) * side[before] / (side[before] - side[k]))
-            if side[k] >= 0:
-                kept.append(out[k])
-        out = np.array(kept).reshape(-1, 2)
-    return out if len(out) >= 3 else np.asarray(polygon, float).reshape(-1, 2)
+        if (side >= 0).all():
+            continue
+        last, before = np.roll(out, 1, axis=0), np.roll(side, 1)
+        crosses = side * before < 0
+        share = np.divide(before, before - side, out=np.zeros_like(side), where=crosses)
+        points = np.stack([last + (out - last) * share[:, None], out], axis=1).reshape(-1, 2)
+        out = points[np.stack([crosses, side >= 0], axis=1).reshape(-1)]
+        if len(out) < 3:
+            return polygon
+    return out
+
+
+def clip_polygon(polygon: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The largest part of a polygon inside a window, both of any shape, as its outer ring; the polygon itself where they share no area."""
+    own, window = np.asarray(polygon, float).reshape(-1, 2), np.asarray(window, float).reshape(-1, 2)
+    if len(own) < 3:
+        return own
+    if is_convex(own) and is_convex(window):
+        return _clip_convex(own, window)
+    heights, found, edges = slabs([[own], [window]])
+    pieces = []  # trapezoids: slab, left and right x below and above
+    for k, (low, high, (a, b)) in enumerate(zip(heights[:-1], heights[1:], found, strict=True)):
+        for left, right in _common(a, b, edges, (low + high) / 2):
+            pieces.append((k, *(float(x_at(edges[e], y)) for y in (low, high) for e in (left, right))))
+    if not pieces:
+        return own
+    pieces = _snapped(pieces)
+    # Pieces that touch along a cut are one part.
+    part = list(range(len(pieces)))
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i, p in enumerate(pieces):
+        for j, q in enumerate(pieces):
+            if q[0] == p[0] + 1 and min(p[4], q[2]) > max(p[3], q[1]):
+                part[root(i)] = root(j)
+    area: dict[int, float] = {}
+    for i, p in enumerate(pieces):
+        area[root(i)] = area.get(root(i), 0.0) + (heights[p[0] + 1] - heights[p[0]]) * (p[2] - p[1] + p[4] - p[3]) / 2
+    largest = max(area, key=lambda r: (area[r], -r))
+    return _outline([p for i, p in enumerate(pieces) if root(i) == largest], heights)
+
+
+def _snapped(pieces: list[tuple]) -> list[tuple]:
+    """The trapezoids with places of a cut that lie nearer than _NEAR made the same."""
+    on: dict[int, list[float]] = {}
+    for k, l1, r1, l2, r2 in pieces:
+        on.setdefault(k, []).extend((l1, r1))
+        on.setdefault(k + 1, []).extend((l2, r2))
+    same: dict[int, dict[float, float]] = {}
+    for cut, xs in on.items():
+        last = None
+        for x in sorted(set(xs)):
+            last = x if last is None or x - last > _NEAR else last
+            same.setdefault(cut, {})[x] = last
+    return [(k, same[k][l1], same[k][r1], same[k + 1][l2], same[k + 1][r2]) for k, l1, r1, l2, r2 in pieces]
+
+
+def _outline(pieces: list[tuple], heights: np.ndarray) -> np.ndarray:
+    """The outer ring around trapezoids: their slanted sides, and along the cuts whatever has a trapezoid on one side only."""
+    onward: dict[tuple[float, float], list[tuple[float, float]]] = {}
+
+    def add(a: tuple[float, float], b: tuple[float, float]) -> None:
+        if a != b:
+            onward.setdefault(a, []).append(b)
+
+    along: dict[float, list[tuple[float, float, int]]] = {}
+    for k, l1, r1, l2, r2 in pieces:
+        low, high = float(heights[k]), float(heights[k + 1])
+        add((l2, high), (l1, low))
+        add((r1, low), (r2, high))
+        along.setdefault(low, []).append((l1, r1, 1))
+        along.setdefault(high, []).append((l2, r2, -1))
+    for y, spans in along.items():
+        xs = sorted({x for l, r, _ in spans for x in (l, r)})
+        for a, b in zip(xs, xs[1:], strict=False):
+            above = any(l <= a and b <= r for l, r, s in spans if s == 1)
+            below = any(l <= a and b <= r for l, r, s in spans if s == -1)
+            if above and not below:
+                add((a, y), (b, y))
+            elif below and not above:
+                add((b, y), (a, y))
+    rings = []
+    while onward:
+        start = min(onward)
+        ring, at = [start], start
+        while True:
+            nexts = onward[at]
+            # Where rings touch, turn right most, which keeps to the outer one.
+            before = ring[-2] if len(ring) > 1 else (at[0], at[1] + 1)
+            back = np.arctan2(before[1] - at[1], before[0] - at[0])
+            b = min(nexts, key=lambda n: (np.arctan2(n[1] - at[1], n[0] - at[0]) - back) % (2 * np.pi) or 2 * np.pi) if len(nexts) > 1 else nexts[0]
+            nexts.remove(b)
+            if not nexts:
+                del onward[at]
+            if b == start:
+                break
+            ring.append(b)
+            at = b
+        rings.append(np.array(ring))
+    size = lambda r: abs(float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()))
+    ring = max(rings, key=size)
+    a, c = np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0)
+    bent = np.abs((ring[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (ring[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) > 1e-6
+    return ring[bent]
 
 
 def union_area(boxes: np.ndarray) -> float:

@@ -82,7 +82,7 @@ def merge_overlapping(boxes: DataFrame, page: str, order: str, iou: float = 0.2,
 def clip_to_regions(lines: DataFrame, regions: DataFrame, keys: list[str], key: str) -> DataFrame:
     """keys, key and the polygon of each line clipped to its region, moved to the region's origin; under three points it is dropped.
 
-    lines: keys, key, polygon; regions: keys, region_polygon (convex, as printed regions are).
+    lines: keys, key, polygon; regions: keys, region_polygon, of any shape. Of several parts the largest is kept.
     """
     joined = lines.select(*keys, key, "polygon").join(regions.select(*keys, "region_polygon"), keys)
 

@@ -139,6 +139,18 @@ def box_coverage(truth: DataFrame, read: DataFrame, page: str) -> DataFrame:
     return tagged.groupBy(page).applyInPandas(cover, f"{page} {truth.schema[page].dataType.simpleString()}, covered long, area long")
 
 
+def polygon_coverage(truth: DataFrame, read: DataFrame, page: str) -> DataFrame:
+    """As box_coverage for polygons of any shape (page, polygon): whole areas of the truth's union and of what the other union covers of it."""
+    tagged = truth.select(page, "polygon", F.lit(True).alias("is_truth")).union(read.select(page, "polygon", F.lit(False))).where(F.size("polygon") >= 3)
+
+    def cover(group: pd.DataFrame) -> pd.DataFrame:
+        t, r = ([np.array([(p["x"], p["y"]) for p in polygon], float) for polygon in group["polygon"][group["is_truth"] == side]] for side in (True, False))
+        covered, area = kernels.polygon_coverage(t, r)
+        return pd.DataFrame({page: [group[page].iloc[0]], "covered": [int(covered + 1e-6)], "area": [int(area + 1e-6)]})
+
+    return tagged.groupBy(page).applyInPandas(cover, f"{page} {truth.schema[page].dataType.simpleString()}, covered long, area long")
+
+
 def match_boxes(truth: DataFrame, read: DataFrame, page: str, key: str, least: float = 0.5) -> DataFrame:
     """page, truth key, read key, iou of the best one-to-one assignment by IoU within each page."""
     tagged = truth.select(page, F.col(key).alias("k"), "box", F.lit(True).alias("is_truth")).union(read.select(page, F.col(key), "box", F.lit(False)))

@@ -221,6 +221,17 @@ def box_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.box_coverage(lines, _detections(lines), "page")
 
 
+@query(f"""WITH {_BOXES}, u AS (SELECT page, x1, y1, x2, y2 FROM b UNION ALL SELECT page, x1, y1, x2, y2 FROM d), ys AS (SELECT DISTINCT page, y1 AS y FROM u UNION SELECT DISTINCT page, y2 FROM u),
+slabs AS (SELECT page, y AS y1, y2 FROM (SELECT page, y, lead(y) OVER (PARTITION BY page ORDER BY y) AS y2 FROM ys) WHERE y2 IS NOT NULL),
+p AS (SELECT DISTINCT page FROM u), ta AS ({_AREA.format("b")}), da AS ({_AREA.format("d")}), ua AS ({_AREA.format("u")})
+SELECT p.page, CAST(coalesce(ta.area, 0) + coalesce(da.area, 0) - coalesce(ua.area, 0) AS BIGINT) AS covered, CAST(coalesce(ta.area, 0) AS BIGINT) AS area FROM p LEFT JOIN ta USING (page) LEFT JOIN da USING (page) LEFT JOIN ua USING (page)""")
+def polygon_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact covered and whole area of each page's polygons, here those of boxes (M6)."""
+    lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
+    drawn = lambda rows: rows.select("page", G.bbox_polygon(F.col("box")).alias("polygon"))
+    return metrics.polygon_coverage(drawn(lines), drawn(_detections(lines)), "page")
+
+
 @query()
 def assigned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best one-to-one assignment of lines and detections."""
@@ -343,11 +354,13 @@ def quantised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", _round(G.dequantise(F.col("q1"), F.lit(WIDTH)), 6).alias("d1"), _round(G.dequantise(F.col("q4"), F.lit(HEIGHT)), 6).alias("d4"))
 
 
-@query(f"""SELECT line_pk, array_to_string(list_transform(polygon, lambda p: concat({_BIN.format("p.x", 1800)}, ',', {_BIN.format("p.y", 2400)})), ' ') AS bins FROM text_lines WHERE polygon IS NOT NULL""")
+@query(f"""SELECT line_pk, array_to_string(list_transform(polygon, lambda p: concat({_BIN.format("p.x", 1800)}, ',', {_BIN.format("p.y", 2400)})), ' ') AS bins,
+round(coalesce(list_sum(list_transform(polygon, lambda p: ({_BIN.format("p.x", 1800)} + CAST(0.5 AS DOUBLE)) * (CAST(1800 AS DOUBLE) / 1000) + ({_BIN.format("p.y", 2400)} + CAST(0.5 AS DOUBLE)) * (CAST(2400 AS DOUBLE) / 1000))), 0), 6) AS middles FROM text_lines WHERE polygon IS NOT NULL""")
 def quantised_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons in bins."""
-    lines = _lines(spark, sf_dir).where("polygon is not null")
-    return lines.select("line_pk", G.format_points(G.quantise_polygon(F.col("polygon"), F.lit(WIDTH), F.lit(HEIGHT))).alias("bins"))
+    """Polygons in bins, and the sum of the middles of these."""
+    lines = _lines(spark, sf_dir).where("polygon is not null").select("line_pk", G.quantise_polygon(F.col("polygon"), F.lit(WIDTH), F.lit(HEIGHT)).alias("q"))
+    middles = F.aggregate(G.dequantise_polygon(F.col("q"), F.lit(WIDTH), F.lit(HEIGHT)), F.lit(0.0), lambda z, p: z + p["x"] + p["y"])
+    return lines.select("line_pk", G.format_points(F.col("q")).alias("bins"), _round(middles, 6).alias("middles"))
 
 
 @query(f"""SELECT img_filename AS page, string_agg(concat('line_bbox<loc_', {_BIN.format("bbox[1]", 1800)}, '><loc_', {_BIN.format("bbox[2]", 2400)}, '><loc_', {_BIN.format("bbox[3]", 1800)}, '><loc_', {_BIN.format("bbox[4]", 2400)}, '>'), '' ORDER BY line_pk) AS answer FROM text_lines GROUP BY img_filename""")
@@ -564,14 +577,14 @@ def band_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.order_bands(_lines(spark, sf_dir), "page", "line_pk").select("line_pk", "band", "position")
 
 
-@query(f"""WITH {_BOXES}, {_COVER}, p AS (SELECT page, region_id, row_number() OVER (PARTITION BY page ORDER BY (strlen(page) % 2 = 1 AND cx1 + cx2 > 1650), {_PLACE.replace("x1", "cx1").replace("x2", "cx2").replace("y1", "cy1").replace("y2", "cy2")}, cy1, region_id) - 1 AS rp FROM c),
-q AS (SELECT line_pk, page, region_id, row_number() OVER (PARTITION BY page, region_id ORDER BY (strlen(page) % 2 = 1 AND x1 + x2 > 1650), {_PLACE}, y1, line_pk) - 1 AS lp FROM b WHERE region_id IS NOT NULL)
+@query(f"""WITH {_BOXES.replace("region_id, bbox", "coalesce(region_id, '') AS region_id, bbox")}, {_COVER}, p AS (SELECT page, region_id, row_number() OVER (PARTITION BY page ORDER BY (strlen(page) % 2 = 1 AND cx1 + cx2 > 1650), {_PLACE.replace("x1", "cx1").replace("x2", "cx2").replace("y1", "cy1").replace("y2", "cy2")}, cy1, region_id) - 1 AS rp FROM c),
+q AS (SELECT line_pk, page, region_id, row_number() OVER (PARTITION BY page, region_id ORDER BY (strlen(page) % 2 = 1 AND x1 + x2 > 1650), {_PLACE}, y1, line_pk) - 1 AS lp FROM b)
 SELECT line_pk, CAST(row_number() OVER (PARTITION BY page ORDER BY rp, lp) - 1 AS INT) AS position FROM q JOIN p USING (page, region_id)""")
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions in order, then lines within each."""
+    """Regions in order, then lines within each (W4); lines without a region are a region of their own."""
     from pyspark.sql import Window
 
-    lines = _lines(spark, sf_dir).where("region_id is not null").select("line_pk", "page", "region_id", "box")
+    lines = _lines(spark, sf_dir).select("line_pk", "page", F.coalesce("region_id", F.lit("")).alias("region_id"), "box")
     regions = layout.cover_bbox(lines, ["page", "region_id"]).withColumnRenamed("cover", "box")
     first = layout.order_with_margins(_placed(regions), "page", "region_id").select("page", "region_id", F.col("position").alias("rp"))
     group = F.struct("page", "region_id")
@@ -633,16 +646,15 @@ def flattened_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample_id", "position", G.corners(F.col("box"))[0].alias("x1"), G.corners(F.col("box"))[3].alias("y2"))
 
 
-@query(f"""WITH {_BOXES}, {_COVER}, r AS (SELECT page, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY page), l AS (SELECT img_filename AS page, CAST(count(*) AS BIGINT) AS n FROM text_lines WHERE region_id IS NOT NULL AND polygon IS NOT NULL GROUP BY 1)
-SELECT page, coalesce(r.n, 0) + coalesce(l.n, 0) AS n, CASE WHEN r.n > 0 THEN 'textregion' ELSE 'textline' END AS first_class, 'textline' AS last_class FROM r JOIN l USING (page)""")
+@query(f"""WITH {_BOXES}, {_COVER}, r AS (SELECT page, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY page), l AS (SELECT img_filename AS page, CAST(count(*) AS BIGINT) AS n FROM text_lines WHERE polygon IS NOT NULL GROUP BY 1)
+SELECT page, coalesce(r.n, 0) + coalesce(l.n, 0) AS n, CASE WHEN r.n > 0 THEN 'textregion' ELSE 'textline' END AS first_class, CASE WHEN l.n > 0 THEN 'textline' ELSE 'textregion' END AS last_class FROM r FULL JOIN l USING (page)""")
 def page_annotations_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, then lines, as one list of annotations a page."""
-    lines = _lines(spark, sf_dir).where("region_id is not null")
-    cover = layout.cover_bbox(lines, ["page", "region_id"])
+    lines = _lines(spark, sf_dir)
+    cover = layout.cover_bbox(lines.where("region_id is not null"), ["page", "region_id"])
     regions = cover.select("page", F.hash("region_id").alias("position"), G.bbox_polygon(F.col("cover")).alias("polygon"), F.lit("").alias("transcription"))
     rows = records.annotations_by_page(lines.where("polygon is not null").select("page", F.col("line_pk").alias("position"), "polygon", "transcription"), regions, "page")
-    found = rows.select("page", F.size("annotations").cast("long").alias("n"), F.col("annotations")[0]["class"].alias("first_class"), F.element_at("annotations", -1)["class"].alias("last_class"))
-    return found.where("last_class = 'textline'")
+    return rows.select("page", F.size("annotations").cast("long").alias("n"), F.col("annotations")[0]["class"].alias("first_class"), F.element_at("annotations", -1)["class"].alias("last_class"))
 
 
 @query(f"""WITH {_BOXES}, {_COVER} SELECT page, region_id, CAST(count(*) AS INT) AS n, CAST(sum(x1 - cx1) AS BIGINT) AS sum_x1, 'line_bbox' AS class FROM b JOIN c USING (page, region_id) GROUP BY page, region_id""")
@@ -656,33 +668,49 @@ def region_samples_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dataset(name: str, sql: str) -> None:
-    """A query of a dataset variant: keys and annotations of its samples."""
+    """A query of a dataset variant: keys of its samples and, of their annotations, number, coordinates (summed), classes and texts."""
     from docflow.plans import datasets
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = _lines(spark, sf_dir).withColumnRenamed("line_pk", "position")
         rows = datasets.build(name, lines)
-        n = F.size("annotations") if "annotations" in rows.columns else F.size("crop")
-        return rows.select("unique_key", "img_filename", n.alias("n"))
+        zero = F.lit(0).cast("long")
+        whole = lambda polygon: F.aggregate(polygon, zero, lambda z, p: z + p["x"] * 3 + p["y"])
+        if "annotations" not in rows.columns:
+            return rows.select("unique_key", "img_filename", F.size("crop").alias("n"), whole(F.col("crop")).alias("places"), F.lit("").alias("classes"), F.col("transcription").alias("texts"))
+        boxed = "box" in rows.schema["annotations"].dataType.elementType.names
+        place = lambda a: a["box"][0] * 3 + a["box"][1] + a["box"][2] * 5 + a["box"][3] * 7 if boxed else whole(a["polygon"])
+        texts = F.lit("") if boxed else F.array_join(F.transform("annotations", lambda a: a["transcription"]), "|")
+        classes = F.array_join(F.array_sort(F.array_distinct(F.transform("annotations", lambda a: a["class"]))), ",")
+        return rows.select("unique_key", "img_filename", F.size("annotations").alias("n"), F.aggregate("annotations", zero, lambda z, a: z + place(a)).alias("places"), classes.alias("classes"), texts.alias("texts"))
 
     run.__name__ = run.__qualname__ = f"dataset_{name}"
     run.__doc__ = f"Samples of {name} (G5, D5)."
     query(sql)(run)
 
 
-_NUMBERED = """SELECT concat(CASE WHEN img_volume IS NULL THEN '' ELSE concat(img_volume, '_') END, img_filename) AS k, img_filename, line_pk, transcription, CAST({} AS INT) AS n FROM text_lines WHERE polygon IS NOT NULL"""
-_GAPPED = "SELECT unique_key, img_filename, n FROM (SELECT *, concat(k, '_', printf('%04d', row_number() OVER (PARTITION BY k ORDER BY line_pk) - 1)) AS unique_key FROM ({})) WHERE transcription <> ''"
-_INSIDE = """WITH r AS (SELECT img_filename, region_id, min(line_pk) AS f FROM text_lines WHERE region_id IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, concat(img_filename, '_', printf('%04d', row_number() OVER (PARTITION BY img_filename ORDER BY f, region_id) - 1)) AS unique_key FROM r)
-SELECT k.unique_key AS unique_key, img_filename, CAST(count(*) AS INT) AS n FROM k JOIN text_lines t USING (img_filename, region_id) WHERE polygon IS NOT NULL GROUP BY 1, 2"""
-_WHOLE = """SELECT img_filename AS unique_key, img_filename, CAST(sum(n) AS INT) AS n FROM ({}) GROUP BY img_filename"""
-_LINE_ROWS = "SELECT img_filename, count(*) AS n FROM text_lines WHERE polygon IS NOT NULL GROUP BY 1"
-_REGION_ROWS = "SELECT img_filename, count(DISTINCT region_id) AS n FROM text_lines WHERE region_id IS NOT NULL GROUP BY 1"
+_SUM = "coalesce(list_sum(list_transform({}, lambda p: p.x * 3 + p.y)), 0)"
+_AROUND = "2 * (3 * (list_min(list_transform(polygon, lambda p: p.x)) + list_max(list_transform(polygon, lambda p: p.x))) + list_min(list_transform(polygon, lambda p: p.y)) + list_max(list_transform(polygon, lambda p: p.y)))"
+_NUMBERED = """SELECT concat(CASE WHEN img_volume IS NULL THEN '' ELSE concat(img_volume, '_') END, img_filename) AS k, img_filename, line_pk, transcription, CAST({} AS INT) AS n, CAST({} AS BIGINT) AS places FROM text_lines WHERE polygon IS NOT NULL"""
+_GAPPED = "SELECT unique_key, img_filename, n, places, '' AS classes, transcription AS texts FROM (SELECT *, concat(k, '_', printf('%04d', row_number() OVER (PARTITION BY k ORDER BY line_pk) - 1)) AS unique_key FROM ({})) WHERE transcription <> ''"
+_INSIDE = """WITH r AS (SELECT img_filename, region_id, min(line_pk) AS f, min(bbox[1]) AS cx1, min(bbox[2]) AS cy1, max(bbox[3]) AS cx2, max(bbox[4]) AS cy2 FROM text_lines WHERE region_id IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT *, concat(img_filename, '_', printf('%04d', row_number() OVER (PARTITION BY img_filename ORDER BY f, region_id) - 1)) AS unique_key FROM r),
+l AS (SELECT k.unique_key, img_filename, line_pk, coalesce(transcription, '') AS t, polygon, cx1, cy1, cx2, cy2, list_min(list_transform(polygon, lambda p: p.x)) AS x1, list_min(list_transform(polygon, lambda p: p.y)) AS y1, list_max(list_transform(polygon, lambda p: p.x)) AS x2, list_max(list_transform(polygon, lambda p: p.y)) AS y2
+  FROM k JOIN text_lines USING (img_filename, region_id) WHERE polygon IS NOT NULL),
+m AS (SELECT *, least(x2, cx2) > greatest(x1, cx1) AND least(y2, cy2) > greatest(y1, cy1) AS hit FROM l)
+"""
+_INSIDE_SHAPES = _INSIDE + f"SELECT unique_key, img_filename, CAST(count(*) AS INT) AS n, CAST(sum({_SUM.format('polygon')} - len(polygon) * (3 * cx1 + cy1)) AS BIGINT) AS places, 'textline' AS classes, string_agg(t, '|' ORDER BY line_pk) AS texts FROM m GROUP BY 1, 2"
+_INSIDE_BOXES = _INSIDE + """SELECT unique_key, img_filename, CAST(count(*) AS INT) AS n, CAST(sum(CASE WHEN hit THEN 3 * (greatest(x1, cx1) - cx1) + greatest(y1, cy1) - cy1 + 5 * (least(x2, cx2) - cx1) + 7 * (least(y2, cy2) - cy1)
+ELSE 3 * (x1 - cx1) + y1 - cy1 + 5 * (x2 - cx1) + 7 * (y2 - cy1) END) AS BIGINT) AS places, 'line_bbox' AS classes, '' AS texts FROM m GROUP BY 1, 2"""
+_WHOLE = """SELECT img_filename AS unique_key, img_filename, CAST(count(*) AS INT) AS n, CAST(sum(places) AS BIGINT) AS places, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, string_agg(t, '|' ORDER BY o, line_pk) AS texts FROM ({}) GROUP BY img_filename"""
+_LINE_ROWS = f"SELECT img_filename, 1 AS o, line_pk, coalesce(transcription, '') AS t, 'textline' AS class, {_SUM.format('polygon')} AS places FROM text_lines WHERE polygon IS NOT NULL"
+_REGION_ROWS = "SELECT img_filename, 0 AS o, min(line_pk) AS line_pk, '' AS t, 'textregion' AS class, 2 * (3 * (min(bbox[1]) + max(bbox[3])) + min(bbox[2]) + max(bbox[4])) AS places FROM text_lines WHERE region_id IS NOT NULL GROUP BY img_filename, region_id"
 
 for _name, _sql in (
-    ("text_recognition__line_seg", _GAPPED.format(_NUMBERED.format("len(polygon)"))),
-    ("text_recognition__line_bbox", _GAPPED.format(_NUMBERED.format("4"))),
-    ("inst_seg_lines_within_regions", _INSIDE),
-    ("line_od_within_regions", _INSIDE),
+    ("text_recognition__line_seg", _GAPPED.format(_NUMBERED.format("len(polygon)", _SUM.format("polygon")))),
+    ("text_recognition__line_bbox", _GAPPED.format(_NUMBERED.format("4", _AROUND))),
+    ("inst_seg_lines_within_regions", _INSIDE_SHAPES),
+    ("line_od_within_regions", _INSIDE_BOXES),
     ("inst_seg_regions_and_lines", _WHOLE.format(f"{_LINE_ROWS} UNION ALL {_REGION_ROWS}")),
     ("inst_seg_lines", _WHOLE.format(_LINE_ROWS)),
     ("inst_seg_regions", _WHOLE.format(_REGION_ROWS)),
@@ -709,20 +737,122 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docflow/{name}-{uuid.uuid4().hex}"
 
 
-@query("""SELECT img_filename AS page, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(len(polygon)) AS BIGINT) AS n_points, CAST(sum(length(trim(transcription))) AS BIGINT) AS n_chars FROM text_lines WHERE region_id IS NOT NULL AND len(polygon) > 0 AND transcription IS NOT NULL GROUP BY img_filename""")
-def page_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as PAGE-XML and read back."""
-    lines = _lines(spark, sf_dir).where("region_id is not null and transcription is not null").where(F.size("polygon") > 0)
-    lines = lines.withColumns({"line_id": F.col("line_pk").cast("string"), "transcription": F.trim("transcription")})
+def _written_xml(spark: SparkSession, sf_dir: str) -> str:
+    """Lines with text written as PAGE-XML; one without a region stands in the region ''. Beside them a file that isn't XML."""
+    lines = _lines(spark, sf_dir).where("transcription is not null")
+    lines = lines.withColumns({"line_id": F.col("line_pk").cast("string"), "transcription": F.trim("transcription"), "region_id": F.coalesce("region_id", F.lit("")), "polygon": F.coalesce("polygon", F.array())})
     path = _fresh(spark, "xml")
-    sinks.write_page_xml(sinks.page_xml(lines, "page", "region_id", "line_pk"), path)
-    back = pagexml.lines(pagexml.read_xml(spark, path))
+    sinks.write_page_xml(sinks.page_xml(lines, "page", "region_id", "line_pk"), f"{path}/pages")
+    spark.range(1).select(F.lit("<PcGts><Page imageFile").alias("value")).write.text(f"{path}/broken")
+    return path
+
+
+_XML_LINES = """x AS (SELECT line_pk, img_filename AS page, coalesce(region_id, '') AS region_id, trim(transcription) AS t, polygon FROM text_lines WHERE transcription IS NOT NULL)"""
+
+
+@query(f"""WITH {_XML_LINES} SELECT page, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(len(polygon)) AS BIGINT) AS n_points, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM x WHERE len(polygon) > 0 GROUP BY page""")
+def page_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as PAGE-XML and read back (S5, S7, S9, K8); those without points are dropped."""
+    back = pagexml.lines(pagexml.read_xml(spark, f"{_written_xml(spark, sf_dir)}/pages"))
     return back.groupBy(F.col("img_filename").alias("page")).agg(F.count("*").alias("n_lines"), F.sum(F.size("polygon")).alias("n_points"), F.sum(F.length("transcription")).alias("n_chars"))
 
 
+@query(f"""WITH {_XML_LINES}, r AS (SELECT page, region_id, trim(string_agg(t, chr(10) ORDER BY line_pk), concat(chr(9), chr(10), chr(13), ' ')) AS transcription, min(line_pk) AS f, min(list_min(list_transform(polygon, lambda p: p.x))) AS x1, max(list_max(list_transform(polygon, lambda p: p.y))) AS y2 FROM x GROUP BY 1, 2)
+SELECT concat(page, '_', printf('%04d', row_number() OVER (PARTITION BY page ORDER BY f) - 1)) AS unique_key, region_id, transcription, x1, y2 FROM r WHERE x1 IS NOT NULL""")
+def page_xml_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions read back from PAGE-XML, whose reader trims texts (S6); those without points are dropped and not counted by the keys."""
+    back = pagexml.regions(pagexml.read_xml(spark, f"{_written_xml(spark, sf_dir)}/pages"))
+    return back.select("unique_key", "region_id", "transcription", G.corners(F.col("bbox"))[0].alias("x1"), G.corners(F.col("bbox"))[3].alias("y2"))
+
+
+@query(f"""WITH {_XML_LINES}, r AS (SELECT page, region_id, coalesce(count_if(len(polygon) > 0), 0) AS n, min(line_pk) AS f FROM x GROUP BY 1, 2)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY f) - 1 AS INT) AS place, CASE WHEN n > 0 THEN region_id END AS region_id, CAST(n AS BIGINT) AS n_lines FROM r""")
+def page_xml_regions_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region read back with its lines; one without points has only these."""
+    back = pagexml.regions_with_lines(pagexml.read_xml(spark, f"{_written_xml(spark, sf_dir)}/pages"))
+    return back.select(F.col("img_filename").alias("page"), F.col("place")[0].alias("place"), "region_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"))
+
+
+@query(f"""WITH {_XML_LINES} SELECT CAST(line_pk AS VARCHAR) AS line_id, trim(t, concat(chr(9), chr(10), chr(11), chr(12), chr(13), ' ')) AS text FROM x""")
+def page_xml_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text within each line's element."""
+    return pagexml.whole_texts(spark, f"{_written_xml(spark, sf_dir)}/pages").select("line_id", "text")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n_unreadable")
+def page_xml_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold no page; one was put there."""
+    found = pagexml.unreadable(spark, _written_xml(spark, sf_dir)).where(F.col("path").contains("/broken/") & F.col("path").endswith(".txt"))
+    return found.agg(F.count("*").alias("n_unreadable"))
+
+
+@query(f"""WITH {_XML_LINES} SELECT CAST(line_pk AS VARCHAR) AS line_id, region_id, t AS transcription, list_min(list_transform(polygon, lambda p: p.x)) AS x1, list_max(list_transform(polygon, lambda p: p.y)) - list_min(list_transform(polygon, lambda p: p.y)) AS height FROM x WHERE len(polygon) > 0""")
+def alto_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as ALTO and read back by block (K8)."""
+    lines = _lines(spark, sf_dir).where("transcription is not null").where(F.size("polygon") > 0)
+    lines = lines.withColumns({"line_id": F.col("line_pk").cast("string"), "transcription": F.trim("transcription"), "region_id": F.coalesce("region_id", F.lit(""))})
+    path = _fresh(spark, "alto")
+    sinks.write_page_xml(sinks.alto_xml(lines, "page", "region_id", "line_pk"), path, "altos")
+    schema = "_ID string, TextLine array<struct<_ID: string, _HPOS: int, _HEIGHT: int, String: array<struct<_CONTENT: string>>>>"
+    blocks = spark.read.format("xml").schema(schema).option("rowTag", "TextBlock").option("nullValue", "\x00").load(path)
+    each = blocks.select(F.col("_ID").alias("region_id"), F.explode("TextLine").alias("l"))
+    return each.select("l._ID", "region_id", F.col("l.String")[0]["_CONTENT"], "l._HPOS", "l._HEIGHT").toDF("line_id", "region_id", "transcription", "x1", "height")
+
+
+@query("""WITH t AS (SELECT img_filename AS page, region_id, line_pk, coalesce(transcription, '') AS t, len(polygon) AS n FROM text_lines),
+p AS (SELECT page, count(*) AS n_lines, string_agg(t, ' ' ORDER BY line_pk) AS text, count(DISTINCT region_id) AS n_regions, sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END) AS n_points FROM t GROUP BY page),
+r AS (SELECT page, arg_min(x, f) AS first_text FROM (SELECT page, min(line_pk) AS f, string_agg(t, ' ' ORDER BY line_pk) AS x FROM t WHERE region_id IS NOT NULL GROUP BY page, region_id) GROUP BY page)
+SELECT page AS path, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_regions AS BIGINT) AS n_regions, CAST(n_points AS BIGINT) AS n_points, text, first_text FROM p LEFT JOIN r USING (page)""")
+def page_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with regions and lines as records, written as JSON and read back (S17, P29, K2); polygons are closed rings."""
+    path = _fresh(spark, "pages")
+    sinks.write_json(sinks.page_json(_lines(spark, sf_dir), "page", "region_id", "line_pk"), path)
+    points = F.aggregate("lines", F.lit(0).cast("long"), lambda z, x: z + F.coalesce(F.size(x["polygon"]), F.lit(0)))
+    back = files.read_pages(spark, path)
+    return back.select("path", F.size("lines").cast("long").alias("n_lines"), F.size("regions").cast("long").alias("n_regions"), points.alias("n_points"), "text", F.get("regions", F.lit(0))["text"].alias("first_text"))
+
+
+@query("""SELECT manifest_id, CAST(len(train) AS BIGINT) AS n_train, CAST(len(val) AS BIGINT) AS n_val, test[1] AS first_test FROM split_info""")
+def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests written as one JSON value over several lines and read back."""
+    path = _fresh(spark, "manifest")
+    rows = table(spark, sf_dir, "split_info").select("manifest_id", "train", "val", "test")
+    whole = rows.coalesce(1).select(F.to_json(F.struct("manifest_id", "train", "val", "test")).alias("x")).agg(F.collect_list("x").alias("xs"))  # a manifest has a row a batch
+    whole.select(F.concat(F.lit("[\n"), F.array_join("xs", ",\n"), F.lit("\n]")).alias("value")).write.text(path)
+    back = files.read_json(spark, path, "manifest_id bigint, train array<string>, val array<string>, test array<string>")
+    return back.select("manifest_id", F.size("train").cast("long").alias("n_train"), F.size("val").cast("long").alias("n_val"), F.get("test", F.lit(0)).alias("first_test")).withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("n_train", "n_val")})
+
+
+@query(r"""SELECT lower(md5(concat(text, chr(10)))) AS digest, CAST(count(*) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def whole_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file each, one that has its line breaks, and read back whole."""
+    path = _fresh(spark, "texts")
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    sinks.write_text(rows.select("text"), path, "text", linebreak="\x00")
+    back = files.read_texts(spark, path).select(F.explode(F.split("text", "\x00")).alias("text"), F.lit(1).alias("one"))
+    # Each file ends with a separator, which leaves an empty text behind; there are as many of these as files.
+    n_files = files.read_texts(spark, path).agg(F.count("*").alias("extra"))
+    counted = back.groupBy("text").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n_files))
+    return counted.select(F.md5(F.concat("text", F.lit("\n"))).alias("digest"), F.when(F.col("text") == "", F.col("n") - F.col("extra")).otherwise(F.col("n")).alias("n")).where("n > 0")
+
+
+@query("""SELECT s.split, l.page, l.label FROM (SELECT img_filename AS page, string_agg(concat('0 ', CAST((bbox[1] + bbox[3]) / CAST(2 AS DOUBLE) / 1800 AS VARCHAR), ' ', CAST((bbox[2] + bbox[4]) / CAST(2 AS DOUBLE) / 2400 AS VARCHAR), ' ', CAST((bbox[3] - bbox[1]) / CAST(1800 AS DOUBLE) AS VARCHAR), ' ', CAST((bbox[4] - bbox[2]) / CAST(2400 AS DOUBLE) AS VARCHAR)), chr(10) ORDER BY line_pk) AS label FROM text_lines GROUP BY 1) l
+JOIN (WITH p AS (SELECT DISTINCT img_filename AS page FROM text_lines), n AS (SELECT page, row_number() OVER (ORDER BY md5(concat('42|', page)), page) AS r, count(*) OVER () AS t FROM p), c AS (SELECT *, CAST(ceil(t * CAST(0.1 AS DOUBLE)) AS BIGINT) AS k FROM n)
+SELECT page, CASE WHEN r <= k THEN 'test' WHEN r <= k + ceil((t - k) * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM c) s USING (page)""")
+def yolo_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files and configuration written in the training layout and read back (K5)."""
+    lines = _lines(spark, sf_dir).select("page", "line_pk", "box", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    split = splits.mixed(lines.select("page").distinct(), "page")
+    path = _fresh(spark, "yolo")
+    sinks.write_yolo_files(sinks.yolo_labels(lines, "page", "line_pk").join(split.select("page", "split"), "page").withColumnRenamed("page", "key"), path, ["line"])
+    back = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("label"))
+    parts = F.split(F.try_url_decode("path"), "/")
+    return back.select(F.element_at(parts, -3).alias("split"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("page"), "label")
+
+
 @query("""SELECT line_pk, bbox[1] AS x1, transcription FROM text_lines""")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written as JSON lines and read back."""
+    """Rows written as JSON lines and read back."""
     path = _fresh(spark, "json")
     sinks.write_json(_lines(spark, sf_dir).select("line_pk", "box", "transcription"), path)
     back = files.read_ndjson(spark, path, "line_pk bigint, box array<int>, transcription string")
@@ -731,10 +861,10 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT volume_id, img_volume, source FROM volumes UNION ALL SELECT volume_id + 100000, img_volume, NULL FROM volumes""")
 def united_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables in folders written by page and read as one."""
+    """Tables in folders, one of them written with a folder a source, and read as one."""
     path = _fresh(spark, "tables")
     volumes = table(spark, sf_dir, "volumes").select("volume_id", "img_volume", "source")
-    volumes.write.parquet(f"{path}/a")
+    sinks.write_pages(volumes.withColumn("page", F.col("source")), f"{path}/a", "page")
     volumes.select((F.col("volume_id") + 100_000).alias("volume_id"), "img_volume").write.parquet(f"{path}/b")
     return files.read_tables(spark, path, "volume_id bigint, img_volume string, source string")
 
@@ -749,7 +879,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT trim(transcription) AS line, CAST(count(*) AS BIGINT) AS n FROM text_lines WHERE transcription IS NOT NULL GROUP BY 1""")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as text files and read back without white space around them."""
+    """Lines written as text files and read back without white space around them."""
     path = _fresh(spark, "text")
     sinks.write_text(_lines(spark, sf_dir).where("transcription is not null"), path, "transcription")
     return files.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
@@ -767,5 +897,5 @@ def pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docflow.plans import pipelines
 
     config = pipelines.parse_config("pipeline: region_od__line_od__ocr\nbackends:\n  region: stub\n  line: stub\n  ocr: stub\n")
-    images = table(spark, sf_dir, "heldout_items").select(F.col("item_id").cast("string").alias("page"), F.encode("text", "UTF-8").alias("image"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    images = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("page"), F.encode("text", "UTF-8").alias("image"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
     return pipelines.run_config(images, config)

@@ -10,10 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Serialised size up to which a table may be broadcast or taken to the driver.
-BROADCAST_BYTES = 64 << 20
-
-
 _shipped: set[str] = set()
 
 

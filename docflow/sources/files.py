@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,9 +49,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def read_tables(spark: SparkSession, parent: str, schema: StructType | str | None = None) -> DataFrame:
-    """The union of the parquet tables in the folders of parent; unreadable files are skipped."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
+def read_tables(spark: SparkSession, parent: str, schema: StructType | str | None = None, skip_corrupt: bool = False) -> DataFrame:
+    """The union of the parquet tables in the folders of parent. An unreadable file is an error unless skip_corrupt; corrupt_tables() lists such files."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", "true")
     return (reader.schema(schema) if schema else reader).parquet(parent)
 
 
@@ -63,5 +63,8 @@ def unite(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def shape(path: Column) -> list[Column]:
-    return [volume(path).alias("volume"), stem(path).alias("img_filename")]
+def corrupt_tables(spark: SparkSession, parent: str) -> DataFrame:
+    """path, length of the parquet files below parent without a parquet file's marks at begin and end. Each file's content is read whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(parent)
+    mark = F.lit(b"PAR1")
+    return files.where((F.substring("content", 1, 4) != mark) | (F.substring("content", -4, 4) != mark)).select("path", "length")

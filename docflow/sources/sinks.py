@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,6 +74,28 @@ def write_yolo(labels: DataFrame, path: str) -> None:
     labels.write.partitionBy("split").mode("overwrite").parquet(path)
 
 
+def write_yolo_files(labels: DataFrame, path: str, names: list[str]) -> None:
+    """The layout itself: <split>/labels/<key>.txt for each row of labels (split, key, label) and config.yaml, below a folder that driver and workers share.
+
+    A task that is repeated writes the same files again. For many files write_yolo or archive.pack is the better layout.
+    """
+    root = path.removeprefix("file://")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for split, key, label in zip(batch["split"], batch["key"], batch["label"], strict=True):
+                folder = os.path.join(root, split, "labels")
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"{key}.txt"), "w", encoding="utf-8") as file:
+                    file.write(label)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    labels.select("split", "key", "label").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    os.makedirs(root, exist_ok=True)
+    with open(os.path.join(root, "config.yaml"), "w", encoding="utf-8") as file:
+        file.write(yolo_config(names, root))
+
+
 def yolo_config(names: list[str], root: str) -> str:
     """The layout's configuration as YAML text."""
     return "\n".join([f"path: {root}", "train: train/images", "val: val/images", "test: test/images", f"nc: {len(names)}", "names: [" + ", ".join(f"'{n}'" for n in names) + "]", ""])
@@ -101,13 +124,42 @@ def page_xml(lines: DataFrame, page: str, region: str, order: str) -> DataFrame:
     return per_page.select(page, F.concat(F.lit('<Page imageFilename="'), escaped(F.col(page)), F.lit('.jpg">'), F.array_join(F.transform("rs", lambda r: r["x"]), ""), F.lit("</Page>")).alias("xml"))
 
 
-def write_page_xml(pages: DataFrame, path: str) -> None:
+def alto_xml(lines: DataFrame, page: str, region: str, order: str) -> DataFrame:
+    """page, xml: an alto element of each page: a TextBlock a region with a TextLine a line, which has its text as one String. lines: page, region, order, line_id, polygon, transcription."""
+    x1, y1, x2, y2 = G.corners(G.polygon_bbox(F.col("polygon")))
+    attribute = lambda name, value: F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
+    place = F.concat(attribute("HPOS", x1), attribute("VPOS", y1), attribute("WIDTH", x2 - x1), attribute("HEIGHT", y2 - y1))
+    shape = F.concat(F.lit("<Shape><Polygon"), attribute("POINTS", G.format_points(F.col("polygon"))), F.lit("/></Shape>"))
+    line = F.concat(F.lit("<TextLine"), attribute("ID", _escaped(F.col("line_id"))), place, F.lit(">"), shape, F.lit("<String"), attribute("CONTENT", _escaped(F.col("transcription"))), F.lit("/></TextLine>"))
+    rows = F.array_sort(F.collect_list(F.struct(order, line.alias("x"))))
+    per_region = lines.groupBy(page, region).agg(rows.alias("rows"), F.min(order).alias("first"))
+    block = F.concat(F.lit("<TextBlock"), attribute("ID", _escaped(F.col(region))), F.lit(">"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</TextBlock>"))
+    per_page = per_region.select(page, F.struct("first", block.alias("x")).alias("s")).groupBy(page).agg(F.array_sort(F.collect_list("s")).alias("rs"))
+    source = F.concat(F.lit("<alto><Description><sourceImageInformation><fileName>"), _escaped(F.col(page)), F.lit(".jpg</fileName></sourceImageInformation></Description><Layout><Page><PrintSpace>"))
+    return per_page.select(page, F.concat(source, F.array_join(F.transform("rs", lambda r: r["x"]), ""), F.lit("</PrintSpace></Page></Layout></alto>")).alias("xml"))
+
+
+def page_json(lines: DataFrame, page: str, region: str, order: str) -> DataFrame:
+    """Page records (schema.PAGE) of lines: regions with their lines in order, all lines, texts joined by blanks, polygons as closed rings. A line without region stands among the lines only."""
+    one = F.struct("box", G.close_ring(F.col("polygon")).alias("polygon"), F.coalesce("transcription", F.lit("")).alias("text"))
+    rows = lines.select(page, region, order, one.alias("l"))
+    texts = lambda ls: F.array_join(F.transform(ls, lambda x: x["text"]), " ")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "l"))), lambda r: F.struct(r["l"]["box"].alias("bbox"), r["l"]["polygon"].alias("polygon"), r["l"]["text"].alias("text")))
+    regions = rows.where(F.col(region).isNotNull()).groupBy(page, region).agg(listed.alias("lines"), F.min(order).alias("first"), *(f(F.col("l.box")[i]).alias(n) for i, (f, n) in enumerate(((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2")))))
+    box = F.array("x1", "y1", "x2", "y2")
+    own = F.struct(box.alias("bbox"), G.close_ring(G.bbox_polygon(box)).alias("polygon"), "lines", texts(F.col("lines")).alias("text"))
+    per_page = regions.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", own.alias("r")))), lambda r: r["r"]).alias("regions"))
+    every = rows.groupBy(page).agg(listed.alias("lines"))
+    return every.join(per_page, page, "left").select(F.coalesce("regions", F.array()).alias("regions"), "lines", texts(F.col("lines")).alias("text"), F.col(page).alias("path"))
+
+
+def write_page_xml(pages: DataFrame, path: str, root: str = "PcGts") -> None:
     """Page elements as XML documents, one a partition with its pages under one root; line breaks within texts become references."""
 
     def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["<PcGts>"]})
+        yield pd.DataFrame({"value": [f"<{root}>"]})
         for batch in batches:
             yield batch
-        yield pd.DataFrame({"value": ["</PcGts>"]})
+        yield pd.DataFrame({"value": [f"</{root}>"]})
 
     pages.select(F.regexp_replace("xml", "\n", "&#10;").alias("value")).mapInPandas(document, "value string").write.mode("overwrite").text(path)

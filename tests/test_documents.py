@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from docflow.operators import layout, metrics, records, splits
@@ -40,6 +41,33 @@ def test_page_xml(spark, tmp_path) -> None:
     assert [os.path.basename(r["path"]) for r in pagexml.unreadable(spark, str(tmp_path)).collect()] == ["bad.xml"]
 
 
+def test_regions_at_any_depth(spark, tmp_path) -> None:
+    """Six levels: counted from the files they are all read, with the usual schema they are an error."""
+    line = '<TextLine id="l{0}"><Coords points="1,1 1,2 8,2"/><TextEquiv><Unicode>{0}</Unicode></TextEquiv></TextLine>'
+    inner = "".join(f'<TextRegion id="r{k}"><Coords points="0,0 0,9 9,9"/>' + line.format(k) for k in range(6)) + "</TextRegion>" * 6
+    (tmp_path / "deep.xml").write_text(f'<PcGts {NS}><Page imageFilename="deep.jpg">{inner}<TextRegion id="e"/></Page></PcGts>')
+    assert pagexml.nesting(spark, str(tmp_path)) == 6
+    assert sorted(r["transcription"] for r in pagexml.lines(pagexml.read_xml(spark, str(tmp_path), None)).collect()) == list("012345")
+    with pytest.raises(Exception, match="nested deeper"):
+        pagexml.lines(pagexml.read_xml(spark, str(tmp_path))).collect()
+
+
+def test_whole_text_of_lines(spark, tmp_path) -> None:
+    words = "<Word><TextEquiv><Unicode>en</Unicode></TextEquiv></Word><Word><TextEquiv><Unicode>&amp;lt;</Unicode></TextEquiv></Word>"
+    (tmp_path / "w.xml").write_text(f'<PcGts {NS}><Page><TextRegion id="r"><TextLine id="l0"/><TextLine id="l1">\n{words}<!-- <TextLine> --> <TextEquiv><Unicode>en &lt;</Unicode></TextEquiv></TextLine><TextLine id="l2"/></TextRegion></Page></PcGts>')
+    assert [tuple(r)[1:] for r in pagexml.whole_texts(spark, str(tmp_path)).collect()] == [("l1", "en&lt; en <")]
+
+
+def test_corrupt_tables(spark, tmp_path) -> None:
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "a"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.parquet").write_bytes(b"PAR1 cut")
+    assert [os.path.basename(r["path"]) for r in files.corrupt_tables(spark, str(tmp_path)).collect()] == ["x.parquet"]
+    assert files.read_tables(spark, str(tmp_path), "id bigint", skip_corrupt=True).count() == 3
+    with pytest.raises(Exception):
+        files.read_tables(spark, str(tmp_path), "id bigint").count()
+
+
 def test_files(spark, tmp_path) -> None:
     for name in ("a/images/2.jpg", "a/images/1.JPG", "b/3.Jpg", "b/4.txt"):
         path = tmp_path / name

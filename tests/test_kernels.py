@@ -78,3 +78,46 @@ def test_clipping() -> None:
     assert sorted(map(tuple, clipped.tolist())) == [(2, 2), (2, 4), (4, 2), (4, 4)]
     assert np.array_equal(K.clip_polygon(square, square + 50), square)
     assert len(K.clip_polygon(square, square[::-1])) == 4
+
+
+def _area(ring: np.ndarray) -> float:
+    return abs(float((ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]).sum())) / 2
+
+
+def _inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Even-odd test of each point."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    x, y = points[:, :1], points[:, 1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hits = ((a[:, 1] <= y) != (b[:, 1] <= y)) & (x < a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+    return hits.sum(axis=1) % 2 == 1
+
+
+def test_areas_of_any_polygons_against_sampling() -> None:
+    rng = np.random.default_rng(4)
+    grid = np.stack(np.meshgrid(np.arange(0.05, 20, 0.1), np.arange(0.05, 20, 0.1)), axis=-1).reshape(-1, 2)
+    for _ in range(40):
+        sides = [[rng.integers(0, 21, (rng.integers(3, 8), 2)).astype(float) for _ in range(rng.integers(0, 4))] for _ in range(2)]
+        t, r = (np.any([_inside(grid, p) for p in side] or [np.zeros(len(grid), bool)], axis=0) for side in sides)
+        covered, whole = K.polygon_coverage(*sides)
+        assert abs(whole - t.sum() / 100) < 3 and abs(covered - (t & r).sum() / 100) < 3
+    assert K.polygon_coverage([np.array([(0, 0), (4, 0), (4, 4), (0, 4)])], [np.array([(2, 0), (9, 0), (9, 2), (2, 2)])]) == (4.0, 16.0)
+
+
+def test_clipping_to_concave_windows() -> None:
+    u = np.array([(0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10)])
+    bar = np.array([(-1, 5), (9, 5), (9, 7), (-1, 7)])
+    part = K.clip_polygon(bar, u)  # a part of 3 x 2 on the left, of 2 x 2 on the right
+    assert sorted(map(tuple, part.tolist())) == [(0.0, 5.0), (0.0, 7.0), (3.0, 5.0), (3.0, 7.0)]
+    whole = K.clip_polygon(np.array([(-1, -1), (11, -1), (11, 11), (-1, 11)]), u)
+    assert _area(whole) == _area(u.astype(float)) and len(whole) == 8
+    assert K.clip_polygon(np.array([(20, 20), (21, 20), (21, 21)]), u).tolist() == [[20, 20], [21, 20], [21, 21]]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        angles = np.sort(rng.uniform(0, 2 * np.pi, 7))
+        star = np.stack([8 + rng.uniform(2, 8, 7) * np.cos(angles), 8 + rng.uniform(2, 8, 7) * np.sin(angles)], axis=1)
+        box = np.array([(3, 3), (12, 3), (12, 13), (3, 13)], float)
+        part = K.clip_polygon(star, box)
+        common = K.polygon_coverage([star], [box])[0]
+        assert _area(part) <= common + 1e-4 and part[:, 0].min() >= 3 - 1e-6 and part[:, 1].max() <= 13 + 1e-6
+        assert abs(_area(part) - common) < 1e-4 or _area(part) < common
