@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.functions.names import LOOKALIKES
 from docflow.llm import characters, grouped_splits, leaks, overlaps, token_ids, truncation
 from docflow.sources.tables import table
 
@@ -80,7 +81,20 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_text, p3_fo
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
+#: Full-width signs and their plain ones, and letters of other scripts with the Latin ones that print alike.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_ALIKE, _LATIN = ("".join(x) for x in zip(*LOOKALIKES.items(), strict=True))
+_MEMBER = r"\p{Lu}\p{Ll}\p{Lt}\p{Lo}\p{M}"
+
 ORACLE = {
+    "p2_text": rf"""
+WITH plain AS (
+  SELECT line_pk, nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(transcription, '[\p{{Cf}}]', '', 'g'), '[\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g'),
+    chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'ſt'), chr(64262), 'st'), '{_WIDE}‐‑', '{_NARROW}--')) AS t FROM text_lines),
+words AS (
+  SELECT line_pk, list_transform(regexp_extract_all(t, '[{_MEMBER}]+|[^{_MEMBER}]+'), lambda w: CASE WHEN regexp_matches(w, '[A-Za-zÀ-ɏḀ-ỿ]') AND regexp_matches(w, '[\p{{Greek}}\p{{Cyrillic}}ɑɡ]') THEN translate(w, '{_ALIKE}', '{_LATIN}') ELSE w END) AS ws FROM plain)
+SELECT line_pk, CASE WHEN ws IS NOT NULL THEN nfc_normalize(array_to_string(ws, '')) END AS transcription FROM words""",
     "p2_found": r"""
 SELECT line_pk FROM text_lines WHERE transcription <> nfc_normalize(transcription)
   OR regexp_matches(transcription, '[\p{Cf}\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2010}\x{2011}\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]')
