@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow import kernels
 from docflow.functions import geometry as G
+from docflow.operators import metrics
 
 
 def cover_bbox(boxes: DataFrame, group: list[str]) -> DataFrame:
@@ -37,6 +38,12 @@ def order_with_margins(boxes: DataFrame, page: str, tie: str) -> DataFrame:
     return boxes.withColumn("position", (F.row_number().over(window) - 1).cast("int"))
 
 
+def page_texts(ordered: DataFrame, page: str, detected: str, text: str, legacy_text_order: bool = False) -> DataFrame:
+    """The text of each page: its lines' texts in reading order (position), or with legacy_text_order as they were detected, joined by blanks."""
+    order = detected if legacy_text_order else "position"
+    return metrics.text_of(ordered.where(F.col(text).isNotNull()), [page], [order], text)
+
+
 def order_columns(boxes: DataFrame, page: str, tie: str, split_x: Column | None = None) -> DataFrame:
     """position in two columns, left before right, each by top then left edge. split_x: by default the page's upper median centre."""
     x1, y1, x2, _ = G.corners(F.col("box"))

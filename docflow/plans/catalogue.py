@@ -577,9 +577,12 @@ def band_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.order_bands(_lines(spark, sf_dir), "page", "line_pk").select("line_pk", "band", "position")
 
 
-@query(f"""WITH {_BOXES.replace("region_id, bbox", "coalesce(region_id, '') AS region_id, bbox")}, {_COVER}, p AS (SELECT page, region_id, row_number() OVER (PARTITION BY page ORDER BY (strlen(page) % 2 = 1 AND cx1 + cx2 > 1650), {_PLACE.replace("x1", "cx1").replace("x2", "cx2").replace("y1", "cy1").replace("y2", "cy2")}, cy1, region_id) - 1 AS rp FROM c),
+_PAGE_ORDER = f"""WITH {_BOXES.replace("region_id, bbox", "coalesce(region_id, '') AS region_id, bbox")}, {_COVER}, p AS (SELECT page, region_id, row_number() OVER (PARTITION BY page ORDER BY (strlen(page) % 2 = 1 AND cx1 + cx2 > 1650), {_PLACE.replace("x1", "cx1").replace("x2", "cx2").replace("y1", "cy1").replace("y2", "cy2")}, cy1, region_id) - 1 AS rp FROM c),
 q AS (SELECT line_pk, page, region_id, row_number() OVER (PARTITION BY page, region_id ORDER BY (strlen(page) % 2 = 1 AND x1 + x2 > 1650), {_PLACE}, y1, line_pk) - 1 AS lp FROM b)
-SELECT line_pk, CAST(row_number() OVER (PARTITION BY page ORDER BY rp, lp) - 1 AS INT) AS position FROM q JOIN p USING (page, region_id)""")
+SELECT line_pk, CAST(row_number() OVER (PARTITION BY page ORDER BY rp, lp) - 1 AS INT) AS position FROM q JOIN p USING (page, region_id)"""
+
+
+@query(_PAGE_ORDER)
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions in order, then lines within each (W4); lines without a region are a region of their own."""
     from pyspark.sql import Window
@@ -593,6 +596,14 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.join(first, ["page", "region_id"]).select("line_pk", place.alias("position"))
 
 
+@query(f"""SELECT img_filename AS page, string_agg(transcription, ' ' ORDER BY position) AS text, string_agg(transcription, ' ' ORDER BY line_pk) AS legacy FROM text_lines JOIN ({_PAGE_ORDER}) USING (line_pk) WHERE transcription IS NOT NULL GROUP BY 1""")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages in reading order and, as they once were joined, in the order of detection."""
+    lines = page_order(spark, sf_dir).join(_lines(spark, sf_dir).select("line_pk", "page", "transcription"), "line_pk")
+    read, legacy = (layout.page_texts(lines, "page", "line_pk", "transcription", old).withColumnRenamed("transcription", name) for name, old in (("text", False), ("legacy", True)))
+    return read.join(legacy, "page")
+
+
 @query("""WITH n AS (SELECT volume_id, CAST(row_number() OVER (ORDER BY img_volume) - 1 AS INT) AS index FROM volumes) SELECT volume_id, index FROM n WHERE index >= 2 AND index < (SELECT count(*) FROM volumes) - 1 AND (index - 2) % 3 = 0""")
 def sliced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third volume from the third on."""
