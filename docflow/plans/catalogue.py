@@ -207,8 +207,8 @@ def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AREA = """SELECT page, sum((high - low) * (y2 - y1)) AS area FROM (
   SELECT page, y1, y2, island, min(x1) AS low, max(x2) AS high FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY page, y1 ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS island FROM (
-      SELECT s.page, s.y1, s.y2, o.x1, o.x2, CASE WHEN o.x1 <= max(o.x2) OVER (PARTITION BY s.page, s.y1 ORDER BY o.x1, o.x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
-      FROM slabs s JOIN {} o ON o.page = s.page AND o.y1 <= s.y1 AND o.y2 >= s.y2 WHERE o.x2 > o.x1)) GROUP BY page, y1, y2, island) GROUP BY page"""
+      SELECT *, CASE WHEN x1 <= max(x2) OVER (PARTITION BY page, y1 ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+      FROM (SELECT DISTINCT s.page, s.y1, s.y2, o.x1, o.x2 FROM slabs s JOIN {} o ON o.page = s.page AND o.y1 <= s.y1 AND o.y2 >= s.y2 WHERE o.x2 > o.x1))) GROUP BY page, y1, y2, island) GROUP BY page"""
 
 
 @query(f"""WITH {_BOXES}, u AS (SELECT page, x1, y1, x2, y2 FROM b UNION ALL SELECT page, x1, y1, x2, y2 FROM d), ys AS (SELECT DISTINCT page, y1 AS y FROM u UNION SELECT DISTINCT page, y2 FROM u),
