@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the graph with edges (a, b); a node without other edges has an edge to itself."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+    checksum = lambda: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    state = checksum()  # of stars with their smallest nodes as centres, one round tells that they are done
     while True:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -42,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("v"), "m").where("v <> m").union(least.select("a", "m")).distinct()
         links = materialise(small.select(F.col("v").alias("a"), F.col("m").alias("b")), "links")
-        found = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        found = checksum()
         if found == state:
             break
         state = found
@@ -146,7 +147,7 @@ def parted_volumes(manifests: DataFrame, volumes: DataFrame) -> DataFrame:
     """
     known = pick(volumes, "volume_id", "img_volume").select("volume_id", volume_of(fold_name(F.col("img_volume"))).alias("volume")).where("volume is not null")
     listed = manifest_pages(manifests).where("volume is not null").withColumn("under", F.coalesce(F.concat(F.lit("s:"), "scheme"), F.lit("-")))
-    listed = materialise(listed.select("scheme", "split", F.concat_ws("/", F.lit("p"), "under", "page").alias("page"), F.concat_ws("/", F.lit("v"), "under", "volume").alias("node"), "volume").distinct(), "listed")
+    listed = materialise(listed.select("scheme", "split", F.concat_ws("/", F.lit("p"), "under", "page").alias("page"), F.concat_ws("/", F.lit("a"), "under", "volume").alias("node"), "volume").distinct(), "listed")
     members = listed.join(components(listed.select(F.col("page").alias("a"), F.col("node").alias("b"))), "node")
     vectors = parted(label_vectors(members, ["component"], "split"))
     own = parted(label_vectors(members.join(vectors, "component"), ["scheme", "volume"], "split"))
@@ -165,7 +166,7 @@ def assign(samples: DataFrame, manifests: DataFrame, volumes: DataFrame, splits:
     listed = manifest_pages(manifests).select(F.regexp_replace("page", "_(jpe?g|png|tiff?)$", "").alias("page"), "volume")
     every = named.union(pages).union(listed).select(F.regexp_replace("page", "_(jpe?g|png|tiff?)$", "").alias("page"), "volume").distinct()
     every = materialise(every, "pages")
-    edges = every.select(F.concat(F.lit("p:"), "page").alias("a"), F.coalesce(F.concat(F.lit("v:"), "volume"), F.concat(F.lit("p:"), "page")).alias("b"))
+    edges = every.select(F.concat(F.lit("p:"), "page").alias("a"), F.coalesce(F.concat(F.lit("a:"), "volume"), F.concat(F.lit("p:"), "page")).alias("b"))
     found = components(edges)
     of_page = found.where(F.col("node").startswith("p:")).select(F.substring("node", 3, 1 << 20).alias("page"), "component")
     sources = volumes.select(fold_name(F.col("img_volume")).alias("volume"), "source").groupBy("volume").agg(F.min("source").alias("source"))
