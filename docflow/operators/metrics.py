@@ -55,29 +55,20 @@ def matched_annotations(annotations: DataFrame, detections: DataFrame, page: str
     return a.join(d, (F.col(f"a.{page}") == F.col("d._page")) & (union > 0) & (overlap >= F.lit(least) * union), "left_semi")
 
 
-def matching_pairs(annotations: DataFrame, detections: DataFrame, page: str, keys: list[str], least: float = 0.5) -> DataFrame:
-    """a, d: keys of the annotations and detections of a page with IoU `least` or more, by an equi-join on the page."""
-    sides = [df.select(F.col(page).alias("_page"), F.struct(*keys).alias(name), F.col("box").alias(f"_{name}")) for df, name in ((annotations, "a"), (detections, "d"))]
-    overlap = G.intersection_area(F.col("_a"), F.col("_d"))
-    union = G.area(F.col("_a")) + G.area(F.col("_d")) - overlap
-    return sides[0].join(sides[1], "_page").where((union > 0) & (overlap >= F.lit(least) * union)).select("a", "d")
-
-
 def unmatched_annotations(annotations: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
     return annotations.join(matched.select(*keys), keys, "left_anti")
 
 
-def detection_scores(annotations: DataFrame, detections: DataFrame, page: str, keys: list[str], least: float = 0.5) -> DataFrame:
+def detection_scores(annotations: DataFrame, detections: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """One row: annotation and detection counts and matches both ways, the list-based precision, recall and F1, and the standard ones.
 
     ref_precision counts unmatched annotations in place of stray detections, which makes it 1 whenever anything matches;
-    precision, recall and f1 are the usual ones. keys: identifies a row on either side.
+    precision, recall and f1 are the usual ones.
     """
-    pairs = matching_pairs(annotations, detections, page, keys, least)
-    found = pairs.agg(F.countDistinct("a").alias("n_found"), F.countDistinct("d").alias("n_correct"))
-    counted = annotations.select(F.lit(1).alias("n"), F.lit(0).alias("m")).union(detections.select(F.lit(0), F.lit(1)))
-    sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_annotations"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_detections"))
-    one = sizes.crossJoin(F.broadcast(found))  # a row each
+    flags = ("n_annotations", "n_found", "n_detections", "n_correct")
+    counted = [annotations, matched_annotations(annotations, detections, page, least), detections, matched_annotations(detections, annotations, page, least)]
+    every = [df.select(*(F.lit(int(own == f)).cast("long").alias(f) for f in flags)) for df, own in zip(counted, flags, strict=True)]
+    one = every[0].union(every[1]).union(every[2]).union(every[3]).agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     recall, precision = share("n_found", "n_annotations"), share("n_correct", "n_detections")
     mean = lambda p, r: F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))

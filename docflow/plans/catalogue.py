@@ -176,7 +176,7 @@ round(2 * rp * rec / (rp + rec), 9) AS ref_f1, round(pre, 9) AS precision, round
 def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and F1 of detections at IoU 0.5, list-based and standard."""
     lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
-    scored = metrics.detection_scores(lines, _detections(lines), "page", ["line_pk"])
+    scored = metrics.detection_scores(lines, _detections(lines), "page")
     return scored.withColumns({c: _round(c) for c in ("ref_recall", "ref_f1", "precision", "recall", "f1")})
 
 

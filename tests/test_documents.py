@@ -131,7 +131,7 @@ def test_records(spark) -> None:
 def test_detection_scores(spark) -> None:
     truth = spark.createDataFrame([("p", 1, [0, 0, 10, 10]), ("p", 2, [50, 50, 60, 60]), ("q", 3, [0, 0, 10, 10])], "page string, k long, box array<int>")
     found = spark.createDataFrame([("p", 1, [0, 0, 10, 9]), ("p", 2, [90, 90, 99, 99])], "page string, k long, box array<int>")
-    got = metrics.detection_scores(truth, found, "page", ["k"]).first()
+    got = metrics.detection_scores(truth, found, "page").first()
     assert (got["ref_precision"], got["ref_recall"], got["ref_f1"], got["precision"], got["recall"]) == (1.0, 1 / 3, 0.5, 0.5, 1 / 3)
     pairs = metrics.match_boxes(truth, found, "page", "k").collect()
     assert [(r["truth_key"], r["read_key"]) for r in pairs] == [(1, 1)]
