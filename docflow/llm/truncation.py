@@ -6,8 +6,8 @@ entities, multibyte sequences and marks of omission, for a terminator, and, wher
 list's entry, a sum, place and date, a signature, a formula. Three baselines of the corpus and of each source decide what
 the text alone can't: closings whose vocabulary the corpus shows (units of sums, formulas) are held against their
 frequency; a missing terminator counts in every text that ends a sentence before, and else in sources whose texts as a
-rule have terminators anywhere; signs left open by a text that ends whole otherwise count in sources that as a rule close
-them. So cut texts don't count against their source, and small sources follow the corpus.
+rule have terminators anywhere; a sign left open by a text that ends whole otherwise counts in sources that as a rule
+close signs of its kind. So cut texts don't count against their source, and small sources follow the corpus.
 
 Scale: one Arrow pass over the texts emits a few bytes a document; the baselines are partial aggregates of that narrow
 table, written once to the shared folder, by unit, formula and source.
@@ -37,7 +37,7 @@ FORMULAS = (
 LEAST_SHARE, LEAST_COUNT = 0.002, 3
 #: Share of texts that are whole or end a sentence within from which a source is one that sets terminators.
 TERMINATED = 0.5
-#: Share of the texts with brackets, quotes or tags that end whole and close all of them from which a source is one that closes its signs.
+#: Share of the texts with signs of a kind that end whole and close all of them from which a source is one that closes them.
 CLOSED = 0.95
 #: Texts from which a source has a habit of its own.
 LEAST_TEXTS = 10
@@ -81,7 +81,7 @@ def open_signs(text: str) -> list[tuple[str, int]]:
         if sign[0] == "<":
             name = "<" + m["name"].lower()
             if not m["stop"]:
-                stack.append((name, m.start()))
+                stack.append(("<", m.start()))  # a tag that itself isn't finished
             elif m["end"]:
                 close(name)
             elif not m["rest"].endswith("/") and name[1:] not in _VOID:
@@ -96,25 +96,31 @@ def open_signs(text: str) -> list[tuple[str, int]]:
     return stack
 
 
-def structure(text: str) -> tuple[bool, bool, bool]:
-    """Whether the text has signs that open something, leaves one open, and leaves one open that its last sentence opens."""
-    if not _SIGNS.search(text):
-        return False, False, False
-    left = open_signs(text)
-    return True, bool(left), bool(left) and not _BOUNDARY.search(text, left[-1][1] + 1)
+def structure(text: str) -> tuple[list[str], list[str]]:
+    """Kinds of the signs that open something, and of those left open."""
+    opened = {("<" + m["name"].lower() if m["stop"] else "<") if m["name"] else _QUOTES.get(m.group(), m.group()) for m in _SIGNS.finditer(text) if not m["end"] and m.group() not in _BRACKETS}
+    if not opened:
+        return [], []
+    return sorted(opened), sorted({kind for kind, _ in open_signs(text)})
+
+
+def _breaks_off(text: str) -> bool:
+    """Whether the last sentence leaves a bracket or an unfinished tag open."""
+    left = [at for kind, at in open_signs(text) if kind in ("(", "[", "{", "<")] if _SIGNS.search(text) else []
+    return bool(left) and not _BOUNDARY.search(text, left[-1] + 1)
 
 
 def ending(text: str | None) -> tuple[str, str | None]:
     """How a text in the consistent form ends: its state and, where the corpus must decide, the phrase to look up.
 
-    blank, whole (terminator or settled closing), broken (a cut sign, or a bracket, or without a terminator any sign, that
-    the last sentence leaves open), unit and formula (whole if the corpus knows the phrase), open (no terminator, no closing).
+    blank, whole (terminator or settled closing), broken (a cut sign, or a bracket or tag that the last sentence leaves
+    open), unit and formula (whole if the corpus knows the phrase), open (no terminator, no closing).
     """
     text = (text or "").strip()
     if not text:
         return "blank", None
     whole = bool(_WHOLE.search(text))
-    if _BROKEN.search(text) or structure(text)[2] and (not whole or open_signs(text)[-1][0] in "([{"):
+    if _BROKEN.search(text) or _breaks_off(text):
         return "broken", None
     if whole:
         return "whole", None
@@ -143,27 +149,37 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [s == "whole" or bool(_SENTENCE.search(t)) for t, (s, _) in zip(plain, found, strict=True)]
             signs = [structure(t) for t in plain]
             part = batch.slice(low, high - low)
-            columns = [pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string()), *(pa.array(x, pa.bool_()) for x in (sets, [s[0] for s in signs], [s[1] for s in signs]))]
+            columns = [pa.array([s for s, _ in found]), pa.array([p for _, p in found], pa.string()), pa.array(sets, pa.bool_()), *(pa.array([s[k] for s in signs], pa.list_(pa.string())) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), *columns], names=["doc_id", "source", "state", "phrase", "sets", "signs", "left"])
 
 
+def _closing(ended: DataFrame) -> DataFrame:
+    """source, closing: the kinds of signs that texts of the source, or where these are few those of the corpus, as a rule close. ended: source, signs, left of texts that end whole."""
+    kinds = ended.select("source", F.explode("signs").alias("kind"), "left").groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if(~F.array_contains("left", F.col("kind"))).alias("n_closed"))
+    rule = (F.col("n") >= LEAST_TEXTS) & (F.col("n_closed") >= CLOSED * F.col("n"))
+    set_of = lambda condition: F.collect_set(F.when(condition, F.col("kind")))
+    corpus = kinds.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("n_closed").alias("n_closed")).agg(set_of(rule).alias("usual"))
+    own = kinds.groupBy("source").agg(set_of(rule).alias("own"), set_of(F.col("n") >= LEAST_TEXTS).alias("many"))
+    return own.crossJoin(corpus).select("source", F.array_union("own", F.array_except("usual", "many")).alias("closing"))
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, truncated and unclosed (the automaton found a sign left open) for every document that isn't blank."""
     read = spread(pick(documents, "doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     kind = read.schema["doc_id"].dataType.simpleString()
-    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean, signs boolean, left boolean").where("state <> 'blank'"), "endings")
+    ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean, signs array<string>, left array<string>").where("state <> 'blank'"), "endings")
     phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
     totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
     share = F.when(F.col("state") == "unit", totals["unit"]).otherwise(totals["formula"])
     known = phrases.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
     settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state", "sets", "signs", "left")
     ended = F.col("state") == "whole"
-    habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("sets") | ended).alias("n_set"), F.count_if(ended & F.col("signs")).alias("n_signs"), F.count_if(ended & F.col("signs") & ~F.col("left")).alias("n_closed"))
-    corpus = habit.agg((F.sum("n_set") / F.sum("n")).alias("sets_usual"), F.try_divide(F.sum("n_closed"), F.sum("n_signs")).alias("closes_usual"))
-    own = lambda part, of, usual: F.when(F.col(of) >= LEAST_TEXTS, F.col(part) / F.col(of)).otherwise(F.col(usual))
-    habit = habit.crossJoin(corpus).select("source", own("n_set", "n", "sets_usual").alias("terminated"), own("n_closed", "n_signs", "closes_usual").alias("closed"))
-    cut = F.when(ended, F.col("left") & (F.col("closed") >= CLOSED)).otherwise((F.col("state") == "broken") | F.col("sets") | (F.col("terminated") >= TERMINATED))
-    return settled.join(habit, "source").select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("truncated"), F.col("left").alias("unclosed"))
+    habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("sets") | ended).alias("n_set"))
+    corpus = habit.agg((F.sum("n_set") / F.sum("n")).alias("usual"))
+    habit = habit.crossJoin(corpus).select("source", F.when(F.col("n") >= LEAST_TEXTS, F.col("n_set") / F.col("n")).otherwise(F.col("usual")).alias("terminated"))
+    habit = habit.join(_closing(settled.where(ended)), "source", "left")
+    cut = F.when(ended, F.arrays_overlap("left", "closing")).otherwise((F.col("state") == "broken") | F.col("sets") | (F.col("terminated") >= TERMINATED))
+    return settled.join(habit, "source").select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("truncated"), (F.size("left") > 0).alias("unclosed"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

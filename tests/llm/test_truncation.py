@@ -16,7 +16,7 @@ BODY = "Korpralen gick till Kvarnby. Han kom åter på söndagen."
         ("\nSom intygas\nOlof Larsson", "whole"), ("\r\nAmen", "whole"), ("\n(L. S.)", "whole"), ("\nSumma 318 mark", "unit"), ("\nArbetat efter", "formula"),
         (" Men när borgaren", "open"), (" Men när borg", "open"), (" Men när…", "broken"), (" Men när...", "broken"), (" fr�", "broken"), (r" f\u00e", "broken"),
         (" Men n&au", "broken"), (" Men <br", "broken"), (" Men [UN", "broken"), (" Men kvarn-", "broken"), ("\nMen när borgaren gick till kvarnen", "open"), (" Se (nedan.", "broken"),
-        ("\n12 gamla båtar, 3 riksdaler", "unit"), (" Han gav 5 öre", "open"), (" Se [not 3. Han kom", "open"), (" Han <b>gick", "broken"), (" Han „gick", "broken"), (" Han „gick.", "whole"), (" sm%C3%", "broken"), (" smÃ", "broken"),
+        ("\n12 gamla båtar, 3 riksdaler", "unit"), (" Han gav 5 öre", "open"), (" Se [not 3. Han kom", "open"), (" Han <b>gick", "open"), (" Han „gick", "open"), (' Han <b class="gick', "broken"), ("\n12 båtar <s>, 3 mark", "unit"), (" Han „gick.", "whole"), (" sm%C3%", "broken"), (" smÃ", "broken"),
     ],
 )
 def test_endings(tail: str, state: str) -> None:
@@ -28,7 +28,7 @@ def test_endings(tail: str, state: str) -> None:
     [
         ("„Kom hit.", ['"']), ("”Kom hit.", ['"']), ('"Kom hit nu och vänta.', ["'"]), ("Se (nedan. Han gick bort.", ["("]), ("Se [not 3. Han kom.", ["["]), ("<p>Han gick. Och kom.", ["<p"]), ("Han gick <b>bort.", ["<b"]),
         ("„Kom hit“, sade han. ”Nej”, sade hon. “Jo.”", []), ("»Kom», sade han. «Nej», «jo».", []), ("(a [b) c", []), ("a) b) c", []), ("<p>En<br>rad <lb/> till</p>", []), ("<p>En <i>rad</p>", []), ("3 < 5 och 7 > 5", []),
-        ("<p class='x", ["<p"]), ("Han sade: „kom (nu", ['"', "("]), ("(" * 50_000 + ")" * 49_999, ["("]), ("", []), ('<a href="(">länk</a>', []),
+        ("<p class='x", ["<"]), ("Han sade: „kom (nu", ['"', "("]), ("(" * 50_000 + ")" * 49_999, ["("]), ("", []), ('<a href="(">länk</a>', []),
     ],
 )
 def test_automaton(text: str, left: list[str]) -> None:
@@ -54,6 +54,12 @@ def test_signs_left_open_count_by_the_habit_of_the_source(spark) -> None:
     assert {r["source"]: r["n_unclosed"] for r in X.rates(rows(spark, texts)).collect()} == {"a": 1, "b": 12}
 
 
+def test_signs_that_nobody_closes_are_no_cut(spark) -> None:
+    """A start sign that the corpus never closes, beside brackets that it does."""
+    texts = [(f"{BODY} Slut (sic).", "a")] * 200 + [(f"{BODY} Slut <s>. Han kom.", "a")] * 5 + [(f"{BODY} Se (nedan. Han kom.", "a"), (f"{BODY} Slut <s>. Han kom.", "b"), (f"{BODY} Se (nedan. Han kom.", "b")]
+    assert sorted(r[0] for r in X.truncated(rows(spark, texts)).collect()) == [205, 207]
+
+
 def test_blank() -> None:
     assert [X.ending(t)[0] for t in (None, "", " \r\n\t")] == ["blank"] * 3
 
