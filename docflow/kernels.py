@@ -8,6 +8,8 @@ import numpy as np
 _EPS = 1e-10
 #: Places nearer than this are the same one, in pixels.
 _NEAR = 1e-5
+#: Pairs of edges that are compared at once.
+_CELLS = 1 << 20
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +162,17 @@ def slabs(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[list[list[tup
     falls = edges[:, 1] > edges[:, 3]
     edges[falls] = edges[falls][:, [2, 3, 0, 1]]
     d = edges[:, 2:] - edges[:, :2]
-    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gap = edges[None, :, :2] - edges[:, None, :2]
-        t, u = ((gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / cross for e in (d[None, :], d[:, None]))
-        met = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        ys = (edges[:, None, 1] + t * d[:, None, 1])[met]
-    heights = np.unique(np.concatenate([edges[:, [1, 3]].ravel(), ys]))
+    ys = [np.zeros(0)]
+    step = max(_CELLS // max(len(edges), 1), 1)
+    for low in range(0, len(edges), step):
+        own, e = edges[low : low + step], d[low : low + step]
+        cross = e[:, None, 0] * d[None, :, 1] - e[:, None, 1] * d[None, :, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = edges[None, :, :2] - own[:, None, :2]
+            t, u = ((gap[..., 0] * f[..., 1] - gap[..., 1] * f[..., 0]) / cross for f in (d[None, :], e[:, None]))
+            met = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+            ys.append((own[:, None, 1] + t * e[:, None, 1])[met])
+    heights = np.unique(np.concatenate([edges[:, [1, 3]].ravel(), *ys]))
     heights = heights[np.r_[True, np.diff(heights) > _NEAR]] if len(heights) else heights
     of_side = np.repeat(np.arange(len(sides)), [len(side) for side in sides])
     found = []
