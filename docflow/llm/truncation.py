@@ -168,10 +168,10 @@ def judged(documents: DataFrame) -> DataFrame:
     read = spread(pick(documents, "doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
     kind = read.schema["doc_id"].dataType.simpleString()
     ends = materialise(read.mapInArrow(_endings, f"doc_id {kind}, source string, state string, phrase string, sets boolean, signs array<string>, left array<string>").where("state <> 'blank'"), "endings")
-    phrases = ends.where("phrase is not null").groupBy("state", "phrase").agg(F.count("*").alias("n"))
-    totals = ends.where("state <> 'whole'").agg(F.count_if(F.col("state") == "unit").alias("unit"), F.count("*").alias("formula")).first()
+    counts = materialise(ends.groupBy("state", "phrase").agg(F.count("*").alias("n")), "phrases")
+    totals = counts.where("state <> 'whole'").agg(F.sum(F.when(F.col("state") == "unit", F.col("n")).otherwise(0)).alias("unit"), F.sum("n").alias("formula")).first()
     share = F.when(F.col("state") == "unit", totals["unit"]).otherwise(totals["formula"])
-    known = phrases.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
+    known = counts.where(F.col("phrase").isNotNull() & (F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * share)).select("state", "phrase", F.lit(True).alias("known"))
     settled = ends.join(known, ["state", "phrase"], "left").withColumn("state", F.when(F.col("phrase").isNull(), F.col("state")).when(F.col("known"), "whole").otherwise("open")).select("doc_id", "source", "state", "sets", "signs", "left")
     ended = F.col("state") == "whole"
     habit = settled.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("sets") | ended).alias("n_set"))
