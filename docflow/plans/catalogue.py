@@ -248,7 +248,17 @@ def matched_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_metrics(metrics.match_masks(both, "page", scale=8), ["page"])
 
 
-@query()
+_SHARED = "greatest(least(k[3], x[1][3]) - greatest(k[1], x[1][1]), 0) * greatest(least(k[4], x[1][4]) - greatest(k[2], x[1][2]), 0)"
+_OWN, _OTHER = "((x[1][3] - x[1][1]) * (x[1][4] - x[1][2]))", "((k[3] - k[1]) * (k[4] - k[2]))"
+_ABSORBS = f"(({_OWN} + {_OTHER} - {_SHARED} <> 0 AND {_SHARED} / ({_OWN} + {_OTHER} - {_SHARED}) > 0.2) OR (least({_OWN}, {_OTHER}) <> 0 AND {_SHARED} / least({_OWN}, {_OTHER}) >= 0.5))"
+_TAKER = f"coalesce(list_position(list_transform(z, lambda k: {_ABSORBS}), true), 0)"
+_MERGED = f"list_transform(z, lambda k, j: CASE WHEN j = {_TAKER} THEN [least(k[1], x[1][1]), least(k[2], x[1][2]), greatest(k[3], x[1][3]), greatest(k[4], x[1][4])] ELSE k END)"
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, o AS (SELECT page, [CAST(x1 AS DOUBLE), y1, x2, y2] AS box, concat('{{', line_pk, ', [', x1, ', ', y1, ', ', x2, ', ', y2, ']}}') AS o FROM (SELECT line_pk, page, x1, y1, x2, y2 FROM b UNION ALL SELECT line_pk, page, x1, y1, x2, y2 FROM d)),
+m AS (SELECT page, CAST(-1 AS BIGINT) AS n, list(box ORDER BY o) AS boxes FROM o GROUP BY page UNION ALL
+  SELECT page, len(boxes), list_reduce(list_transform(boxes, lambda y: [y]), lambda z, x: CASE WHEN {_TAKER} > 0 THEN {_MERGED} ELSE list_append(z, x[1]) END) FROM m WHERE n <> len(boxes))
+SELECT page, CAST(i - 1 AS INT) AS position, boxes[i] AS box FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM m WHERE n = len(boxes))""")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping boxes of each page merged."""
     lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
