@@ -20,7 +20,7 @@ LOOKALIKES = {
 }
 
 
-def _plain_letters() -> tuple[str, str]:
+def plain_letters() -> tuple[str, str]:
     """Letters and full-width signs with the plain Latin letter each stands for."""
     to: dict[str, str] = {}
     for source, target in LOOKALIKES.items():
@@ -33,7 +33,7 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(to), "".join(to.values())
 
 
-_FROM, _TO = _plain_letters()
+_FROM, _TO = plain_letters()
 
 
 def fold_name(name: Column) -> Column:
@@ -50,6 +50,10 @@ _VOLUME = r"^(.*?[a-z]\d{5,})"
 _REST = r"_0*(\d+)(?:_(?:\d{1,2}|kopia|copy|jpe?g|png|tiff?))*"
 
 
+#: A folded key of a region: volume, page number, region number.
+REGION = _VOLUME + _REST + r"_[a-z]*_?0*(\d+[a-z]*)$"
+
+
 def volume_of(folded: Column) -> Column:
     """The volume that a folded image name or key begins with; null where it names none."""
     return F.nullif(F.regexp_extract(folded, _VOLUME + "(?:_|$)", 1), F.lit(""))
@@ -58,9 +62,7 @@ def volume_of(folded: Column) -> Column:
 def region_key(unique_key: Column) -> Column:
     """volume/page/region of a unique_key, however spelled; null where it doesn't name all three."""
     folded = fold_name(unique_key)
-    pattern = _VOLUME + _REST + r"_[a-z]*_?0*(\d+[a-z]*)$"
-    parts = [F.regexp_extract(folded, pattern, i) for i in (1, 2, 3)]
-    return F.when(parts[0] != "", F.concat_ws("/", *parts))
+    return F.when(folded.rlike(REGION), F.regexp_replace(folded, REGION, "$1/$2/$3"))
 
 
 def split_name(split: Column) -> Column:
