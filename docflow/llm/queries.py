@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.functions.names import LOOKALIKES
+from docflow.functions.names import LOOKALIKES, REGION, plain_letters
 from docflow.llm import characters, grouped_splits, leaks, overlaps, token_ids, truncation
 from docflow.sources.tables import table
 
@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_id", "other_id").alias("sample_id_a"), F.greatest("train_id", "other_id").alias("sample_id_b"))
 
 
+def p1_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p1_found that are one record by their keys."""
+    pairs = overlaps.key_pairs(overlaps.keyed(table(spark, sf_dir, "region_samples")))
+    return pairs.select(F.least("train_id", "other_id").alias("sample_id_a"), F.greatest("train_id", "other_id").alias("sample_id_b"))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping samples and pairs by split and source."""
     samples = table(spark, sf_dir, "region_samples")
@@ -77,7 +83,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report, p8_found, p8_rates)}
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
@@ -86,7 +92,15 @@ _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, rang
 _ALIKE, _LATIN = ("".join(x) for x in zip(*LOOKALIKES.items(), strict=True))
 _MEMBER = r"\p{Lu}\p{Ll}\p{Lt}\p{Lo}\p{M}"
 
+_PLAIN = tuple(x.replace("'", "''") for x in plain_letters())
+
 ORACLE = {
+    "p1_keys": rf"""
+WITH decoded AS (SELECT sample_id, split, CASE WHEN contains(unique_key, '%') THEN coalesce(TRY(url_decode(replace(unique_key, '+', '%2B'))), unique_key) ELSE unique_key END AS k FROM region_samples),
+letters AS (SELECT sample_id, split, replace(regexp_replace(lower(translate(regexp_replace(k, '[\p{{M}}\p{{Cf}}]', '', 'g'), '{_PLAIN[0]}', '{_PLAIN[1]}')), 'ae|aa', 'a', 'g'), 'oe', 'o') AS k FROM decoded),
+folded AS (SELECT sample_id, lower(trim(split)) AS split, trim(regexp_replace(k, '[\s\p{{Z}}_\-‐‑.~()]+', '_', 'g'), '_') AS k FROM letters),
+keys AS (SELECT sample_id, split LIKE 'tr%' AS train, regexp_replace(k, '{REGION}', '\1/\2/\3') AS key FROM folded WHERE regexp_matches(k, '{REGION}') AND regexp_matches(split, '^(tr|val|dev|te)'))
+SELECT least(a.sample_id, b.sample_id) AS sample_id_a, greatest(a.sample_id, b.sample_id) AS sample_id_b FROM keys a JOIN keys b USING (key) WHERE a.train AND NOT b.train""",
     "p2_text": rf"""
 WITH plain AS (
   SELECT line_pk, nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(
