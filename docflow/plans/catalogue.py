@@ -258,11 +258,12 @@ _MERGED = f"list_transform(z, lambda k, j: CASE WHEN j = {_TAKER} THEN [least(k[
 @query(f"""WITH RECURSIVE {_BOXES}, o AS (SELECT page, [CAST(x1 AS DOUBLE), y1, x2, y2] AS box, concat('{{', line_pk, ', [', x1, ', ', y1, ', ', x2, ', ', y2, ']}}') AS o FROM (SELECT line_pk, page, x1, y1, x2, y2 FROM b UNION ALL SELECT line_pk, page, x1, y1, x2, y2 FROM d)),
 m AS (SELECT page, CAST(-1 AS BIGINT) AS n, list(box ORDER BY o) AS boxes FROM o GROUP BY page UNION ALL
   SELECT page, len(boxes), list_reduce(list_transform(boxes, lambda y: [y]), lambda z, x: CASE WHEN {_TAKER} > 0 THEN {_MERGED} ELSE list_append(z, x[1]) END) FROM m WHERE n <> len(boxes))
-SELECT page, CAST(i - 1 AS INT) AS position, boxes[i] AS box FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM m WHERE n = len(boxes))""")
+SELECT page, CAST(i - 1 AS INT) AS position, CAST(boxes[i][1] AS INT) AS x1, CAST(boxes[i][2] AS INT) AS y1, CAST(boxes[i][3] AS INT) AS x2, CAST(boxes[i][4] AS INT) AS y2 FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM m WHERE n = len(boxes))""")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping boxes of each page merged."""
     lines = _lines(spark, sf_dir).select("line_pk", "page", "box")
-    return layout.merge_overlapping(lines.unionByName(_detections(lines)).withColumn("o", F.struct("line_pk", "box").cast("string")), "page", "o")
+    merged = layout.merge_overlapping(lines.unionByName(_detections(lines)).withColumn("o", F.struct("line_pk", "box").cast("string")), "page", "o")
+    return merged.select("page", "position", *(c.cast("int").alias(n) for c, n in zip(G.corners(F.col("box")), G.CORNERS, strict=True)))
 
 
 @query("""SELECT line_pk, list_min(list_transform(polygon, lambda p: p.x)) AS x1, list_min(list_transform(polygon, lambda p: p.y)) AS y1, list_max(list_transform(polygon, lambda p: p.x)) AS x2, list_max(list_transform(polygon, lambda p: p.y)) AS y2, CAST(len(polygon) AS INT) AS n_points
