@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,7 +80,7 @@ def write_yolo_files(labels: DataFrame, path: str, names: list[str]) -> None:
 
     A task that is repeated writes the same files again. For many files write_yolo or archive.pack is the better layout.
     """
-    root = path.removeprefix("file://")
+    root = re.sub("^file:/+", "/", path)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -88,6 +88,11 @@ def test_sinks(spark, tmp_path) -> None:
     polygons = spark.createDataFrame([("p", 1, [(1, 2), (3, 4)], 3, 7)], "page string, k int, polygon array<struct<x:int,y:int>>, width int, height int")
     assert sinks.yolo_polygons(polygons, "page", "k").first()["label"] == "0 0.333333 0.285714 1.000000 0.571429"
     assert "nc: 1" in sinks.yolo_config(["line"], "/x")
+    labels = spark.createDataFrame([("train", "å_1", "0 1 1 1 1"), ("val", "b", "")], "split string, key string, label string")
+    for k, prefix in enumerate(("", "file:", "file://")):
+        sinks.write_yolo_files(labels, f"{prefix}{tmp_path}/y{k}", ["line"])
+        assert (tmp_path / f"y{k}" / "train" / "labels" / "å_1.txt").read_text() == "0 1 1 1 1" and (tmp_path / f"y{k}" / "val" / "labels" / "b.txt").read_text() == ""
+        assert "names: ['line']" in (tmp_path / f"y{k}" / "config.yaml").read_text()
     rows = spark.createDataFrame([("a", 1, "train"), ("b", 2, "val")], "page string, n int, split string")
     sinks.write_pages(rows, str(tmp_path / "p"))
     sinks.write_split(rows, str(tmp_path / "s"))
