@@ -3,7 +3,7 @@
 Grouped iterative stratification. Records and the entities they share form a graph; its connected components are the
 units of the split. Each component has a label vector (records by label) and a home, the rarest of its labels in the
 corpus. Labels are placed in order, rarest first; of a label's components the larger ones first, each into the split
-that then needs that label most. Components with other labels too count against the needs of those as well.
+that then needs that label most, of those that still lack half its records or more in all. Components with other labels too count against the needs of those as well.
 
 Scale: components are found by alternating large-star and small-star steps with partial aggregates, each round
 written to the shared folder. The greedy runs over groups of components of one home and one size, whose number is
@@ -62,11 +62,22 @@ def parted(vectors: DataFrame) -> DataFrame:
 
 
 def shares(need: list[float], whole: list[float], size: int, count: int) -> list[int]:
-    """How many of `count` components of `size` records each split gets if they go one by one to the split that needs most.
+    """How many of `count` components of `size` records each split gets if they go one by one to the split that needs the label most.
 
-    Needs sink to one level: all that a split takes above it is known at once, and only the last few are placed singly.
+    A split takes part while it lacks at least half a component of all records; when none does, the rest go to those that
+    lack most records. Either way needs sink to one level: what a split takes above it is known at once, and only the
+    last few are placed singly.
     """
-    level = lambda t: [max(0, int((n - t) // size) + 1) if n > t else 0 for n in need]
+    room = [max(0, int(w / size + 0.5)) for w in whole]
+    taken = _levelled(need, whole, size, min(count, sum(room)), room)
+    left = [w - size * k for w, k in zip(whole, taken, strict=True)]
+    rest = count - sum(taken)
+    return [a + b for a, b in zip(taken, _levelled(left, left, size, rest, [rest] * len(left)), strict=True)]
+
+
+def _levelled(need: list[float], ties: list[float], size: int, count: int, room: list[int]) -> list[int]:
+    """How many of `count` each split gets, no more than its room, if they go one by one to the greatest need, then to the greater of ties, then to the first."""
+    level = lambda t: [min(r, max(0, int((n - t) // size) + 1) if n > t else 0) for n, r in zip(need, room, strict=True)]
     low, high = min(need) - size * (count + 1.0), max(need)
     for _ in range(200):
         middle = (low + high) / 2
@@ -77,10 +88,9 @@ def shares(need: list[float], whole: list[float], size: int, count: int) -> list
         if high - low <= size * 1e-6:
             break
     taken = level(high)
-    left, whole = [n - size * k for n, k in zip(need, taken, strict=True)], [w - size * k for w, k in zip(whole, taken, strict=True)]
     for _ in range(count - sum(taken)):
-        s = min(range(len(need)), key=lambda i: (-left[i], -whole[i], i))
-        taken[s], left[s], whole[s] = taken[s] + 1, left[s] - size, whole[s] - size
+        s = min((i for i in range(len(need)) if taken[i] < room[i]), key=lambda i: (size * taken[i] - need[i], size * taken[i] - ties[i], i))
+        taken[s] += 1
     return taken
 
 

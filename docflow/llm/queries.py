@@ -57,6 +57,16 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assignment(spark, sf_dir).groupBy("split", "source").agg(F.count("*").alias("n_pages"), F.countDistinct("volume").alias("n_volumes"))
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages assigned, volumes parted, and whether each split has its proportion of the pages to the size of the largest component."""
+    pages = _assignment(spark, sf_dir)
+    parted = pages.where("volume is not null").groupBy("volume").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_parted"))
+    units = pages.groupBy("component", "split").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
+    of = lambda s: F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0))
+    near = [(F.abs(of(s) - r * F.sum("n")) <= F.max("n")).alias(f"{s}_near") for s, r in grouped_splits.SPLITS]
+    return units.agg(F.sum("pages").alias("n_pages"), F.sum("n").alias("n_rows"), *near).crossJoin(parted)  # a row each
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return token_ids.encode(table(spark, sf_dir, "documents"))
@@ -83,7 +93,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p6_ids, p7_found, p7_report, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_report, p2_found, p2_text, p3_found, p3_assignment, p3_balance, p3_totals, p6_ids, p7_found, p7_report, p8_found, p8_rates)}
 
 _FOLDED = r"regexp_extract(strip_accents(lower(nfc_normalize(trim({})))), '^(.*?[a-z]\d{{5,}})(_|$)', 1)"
 
@@ -94,13 +104,23 @@ _MEMBER = r"\p{Lu}\p{Ll}\p{Lt}\p{Lo}\p{M}"
 
 _PLAIN = tuple(x.replace("'", "''") for x in plain_letters())
 
+
+def _folded(name: str) -> str:
+    """SQL of functions.names.fold_name."""
+    decoded = f"CASE WHEN contains({name}, '%') THEN coalesce(TRY(url_decode(replace({name}, '+', '%2B'))), {name}) ELSE {name} END"
+    letters = rf"lower(translate(regexp_replace({decoded}, '[\p{{M}}\p{{Cf}}]', '', 'g'), '{_PLAIN[0]}', '{_PLAIN[1]}'))"
+    return rf"trim(regexp_replace(replace(regexp_replace({letters}, 'ae|aa', 'a', 'g'), 'oe', 'o'), '[\s\p{{Z}}_\-‐‑.~()]+', '_', 'g'), '_')"
+
+
 ORACLE = {
     "p1_keys": rf"""
-WITH decoded AS (SELECT sample_id, split, CASE WHEN contains(unique_key, '%') THEN coalesce(TRY(url_decode(replace(unique_key, '+', '%2B'))), unique_key) ELSE unique_key END AS k FROM region_samples),
-letters AS (SELECT sample_id, split, replace(regexp_replace(lower(translate(regexp_replace(k, '[\p{{M}}\p{{Cf}}]', '', 'g'), '{_PLAIN[0]}', '{_PLAIN[1]}')), 'ae|aa', 'a', 'g'), 'oe', 'o') AS k FROM decoded),
-folded AS (SELECT sample_id, lower(trim(split)) AS split, trim(regexp_replace(k, '[\s\p{{Z}}_\-‐‑.~()]+', '_', 'g'), '_') AS k FROM letters),
+WITH folded AS (SELECT sample_id, lower(trim(split)) AS split, {_folded("unique_key")} AS k FROM region_samples),
 keys AS (SELECT sample_id, split LIKE 'tr%' AS train, regexp_replace(k, '{REGION}', '\1/\2/\3') AS key FROM folded WHERE regexp_matches(k, '{REGION}') AND regexp_matches(split, '^(tr|val|dev|te)'))
 SELECT least(a.sample_id, b.sample_id) AS sample_id_a, greatest(a.sample_id, b.sample_id) AS sample_id_b FROM keys a JOIN keys b USING (key) WHERE a.train AND NOT b.train""",
+    "p3_totals": rf"""
+WITH names AS (SELECT img_filename AS name FROM region_samples UNION ALL SELECT unnest(train) FROM split_info UNION ALL SELECT unnest(val) FROM split_info UNION ALL SELECT unnest(test) FROM split_info),
+pages AS (SELECT DISTINCT regexp_replace({_folded("name")}, '_(jpe?g|png|tiff?)$', '') AS page FROM names WHERE name IS NOT NULL)
+SELECT count(*) AS n_pages, count(*) AS n_rows, true AS train_near, true AS val_near, true AS test_near, CAST(0 AS BIGINT) AS n_parted FROM pages""",
     "p2_text": rf"""
 WITH plain AS (
   SELECT line_pk, nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(

@@ -30,7 +30,8 @@ def test_components_against_brute_force(spark) -> None:
 def one_by_one(need: list[float], whole: list[float], size: int, count: int) -> list[int]:
     need, whole, taken = list(need), list(whole), [0] * len(need)
     for _ in range(count):
-        s = min(range(len(need)), key=lambda i: (-need[i], -whole[i], i))
+        open_ = [i for i in range(len(need)) if whole[i] >= size / 2]
+        s = min(open_, key=lambda i: (-need[i], -whole[i], i)) if open_ else min(range(len(need)), key=lambda i: (-whole[i], i))
         taken[s], need[s], whole[s] = taken[s] + 1, need[s] - size, whole[s] - size
     return taken
 
@@ -39,10 +40,10 @@ def test_shares_are_those_of_placing_one_by_one() -> None:
     rng = random.Random(6)
     for _ in range(500):
         n = rng.choice([1, 2, 3, 3, 5])
-        need, whole = [rng.choice([rng.uniform(-50, 900), rng.randint(-5, 50)]) for _ in range(n)], [rng.randint(0, 99) for _ in range(n)]
+        need, whole = [rng.choice([rng.uniform(-50, 900), rng.randint(-5, 50)]) for _ in range(n)], [rng.choice([rng.randint(-9, 99), rng.randint(0, 9999)]) for _ in range(n)]
         size, count = rng.randint(1, 60), rng.choice([0, 1, 2, rng.randint(0, 300)])
         assert S.shares(need, whole, size, count) == one_by_one(need, whole, size, count)
-    assert sum(S.shares([8.1e11, 0.9e11, 1e11], [0, 0, 0], 1, 10**12)) == 10**12
+    assert sum(S.shares([8.1e11, 0.9e11, 1e11], [8.1e11, 0.9e11, 1e11], 1, 10**12)) == sum(S.shares([8.1e11, 0.9e11, 1e11], [0, 0, 0], 1, 10**12)) == 10**12
 
 
 def test_stratified_against_placing_one_by_one(spark) -> None:
