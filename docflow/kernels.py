@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from dataclasses import dataclass, replace
+
 import numpy as np
 
 #: Keeps the shares of empty masks finite (fixed value).
@@ -10,6 +13,8 @@ _EPS = 1e-10
 _NEAR = 1e-5
 #: Pairs of edges that are compared at once.
 _CELLS = 1 << 20
+#: Pixels that are drawn at once.
+_DRAWN = 1 << 20
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +143,276 @@ def mask_metrics(read: np.ndarray, truth: np.ndarray) -> dict[str, float]:
 
 def match_masks(read: list[np.ndarray], truth: list[np.ndarray], width: int, height: int, least: float = 0.5) -> tuple[list[tuple[int, int, dict[str, float]]], list[int], list[int]]:
     """Pairs (truth, read, metrics) of the best one-to-one assignment by IoU with at least `least`, unmatched read and truth numbers."""
-    r, t = [rasterise(p, width, height) for p in read], [rasterise(p, width, height) for p in truth]
-    iou = np.array([[(a & b).sum() / ((a | b).sum() + _EPS) for b in r] for a in t]).reshape(len(t), len(r))
-    pairs = [(int(i), int(j), mask_metrics(r[j], t[i])) for i, j in zip(*assign(-iou), strict=True) if iou[i, j] >= least]
-    return pairs, sorted(set(range(len(r))) - {j for _, j, _ in pairs}), sorted(set(range(len(t))) - {i for i, _, _ in pairs})
+    shapes = [np.asarray(p, float).reshape(-1, 2) for p in (*truth, *read)]
+    sizes = np.array([len(p) for p in shapes], int)
+    page = np.zeros(len(shapes), int)
+    t, r, metrics = match_pages(np.concatenate([*shapes, np.zeros((0, 2))]), sizes, page, np.arange(len(truth)), np.arange(len(truth), len(shapes)), np.array([width]), np.array([height]), least)
+    pairs = [(int(i), int(j) - len(truth), {name: float(column[n]) for name, column in metrics.items()}) for n, (i, j) in enumerate(zip(t, r, strict=True))]
+    return pairs, sorted(set(range(len(read))) - {j for _, j, _ in pairs}), sorted(set(range(len(truth))) - {i for i, _, _ in pairs})
+
+
+def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For as many items as each count says, the count's number and the item's place within it."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many values behind one another."""
+    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _runs(counts: np.ndarray, most: int) -> list[slice]:
+    """Slices of counts that come to `most` each at most, or hold one count."""
+    ends, out, low = np.cumsum(counts), [], 0
+    while low < len(counts):
+        high = max(int(np.searchsorted(ends, most + (ends[low - 1] if low else 0), side="right")), low + 1)
+        out.append(slice(low, high))
+        low = high
+    return out
+
+
+@dataclass(frozen=True)
+class Masks:
+    """Masks of polygons as rows of 64 pixels a word, each within its own window, which has a free pixel on all sides that aren't the page's."""
+
+    words: np.ndarray
+    start: np.ndarray  # of a mask's words
+    column: np.ndarray  # first word of the window's rows, counted from the page's left
+    span: np.ndarray  # words of a row
+    top: np.ndarray
+    rows: np.ndarray
+    width: np.ndarray  # of the page
+    area: np.ndarray
+
+
+def draw_masks(points: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> Masks:
+    """The masks that rasterise gives, of many polygons of `sizes` points on pages of their own width and height."""
+    first, some = np.cumsum(sizes) - sizes, sizes > 0
+    low, high = (np.full((len(sizes), 2), fill) for fill in (0.0, -4.0))
+    if some.any():
+        low[some], high[some] = np.minimum.reduceat(points, first[some]), np.maximum.reduceat(points, first[some])
+    left, top = (np.maximum(np.floor(low[:, i]).astype(int) - 2, 0) for i in (0, 1))
+    right, bottom = (np.minimum(np.ceil(high[:, i]).astype(int) + 3, side) for i, side in ((0, width), (1, height)))
+    shown = some & (right > left) & (bottom > top)
+    column = left >> 6
+    span, rows = np.where(shown, (right + 63 >> 6) - column, 0), np.where(shown, bottom - top, 0)
+    parts = [_drawn(points[first[of.start] : first[of.stop - 1] + sizes[of.stop - 1]], sizes[of], width[of], height[of], column[of], span[of], top[of], rows[of]) for of in _runs(span * rows * 64 + 1, _DRAWN)]
+    words = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    counts = span * rows
+    return Masks(words, np.cumsum(counts) - counts, column, span, top, rows, width, _sums(np.bitwise_count(words), counts))
+
+
+def _drawn(points: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray, column: np.ndarray, span: np.ndarray, top: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words of the masks of some polygons: the outlines pixel by pixel, then the scan lines a word at a time."""
+    cells = span * rows * 64
+    offset = np.cumsum(cells) - cells - top * span * 64 - column * 64  # of the page's first pixel
+    owner, at = _ranges(sizes)
+    after = np.arange(len(points)) + 1
+    after[at == sizes[owner] - 1] -= sizes[sizes > 0]
+    shown = rows[owner] > 0
+    owner, (x1, y1), (x2, y2) = owner[shown], points[shown].T, points[after[shown]].T
+
+    n = np.maximum(np.abs(x2 - x1), np.abs(y2 - y1)).astype(int) + 1
+    counts = n + 1
+    ends = np.cumsum(counts)
+    k = np.arange(ends[-1] if len(ends) else 0, dtype=float)
+    k -= np.repeat((ends - counts).astype(float), counts)
+    pixels = []
+    for low, high in ((x1, x2), (y1, y2)):
+        at = k * np.repeat((high - low) / n, counts)
+        at += np.repeat(low, counts)
+        at[ends - 1] = high
+        pixels.append(np.rint(at, out=at))
+    x, y = pixels
+    place = (y * np.repeat(span[owner] * 64.0, counts) + x + np.repeat(offset[owner].astype(float), counts)).astype(int)
+    if (np.minimum(x1, x2) < 0).any() or (np.minimum(y1, y2) < 0).any() or (np.rint(np.maximum(x1, x2)) >= width[owner]).any() or (np.rint(np.maximum(y1, y2)) >= height[owner]).any():
+        own = np.repeat(owner, counts)
+        place = place[(x >= 0) & (x < width[own]) & (y >= 0) & (y < height[own])]
+    mask = np.zeros(int(cells.sum()), bool)
+    mask[place] = True
+    words = np.packbits(mask, bitorder="little").view("<u8").astype(np.uint64, copy=False)
+
+    begin = np.maximum(np.ceil(np.minimum(y1, y2)).astype(int), 0)
+    end = np.minimum(np.ceil(np.maximum(y1, y2)).astype(int), height[owner])
+    e, y = _ranges(np.maximum(end - begin, 0))
+    y += begin[e]
+    x, own = x1[e] + (y - y1[e]) * (x2[e] - x1[e]) / (y2[e] - y1[e]), owner[e]
+    order = np.lexsort((x, (np.cumsum(rows) - rows - top)[own] + y))
+    x, y, own = x[order].reshape(-1, 2), y[order][::2], own[order][::2]
+    a, b = np.clip(np.ceil(x[:, 0]).astype(int), 0, width[own]), np.clip(np.floor(x[:, 1]).astype(int) + 1, 0, width[own])
+    line, w = _ranges(np.where(a < b, (b + 63 >> 6) - (a >> 6), 0))
+    w += a[line] >> 6
+    low, high = (np.clip(side[line] - w * 64, 0, 64).astype(np.uint64) for side in (a, b))
+    np.bitwise_or.at(words, (offset[own] >> 6)[line] + y[line] * span[own][line] + w, ~np.uint64(0) >> (np.uint64(64) - (high - low)) << low)
+    return words
+
+
+def boundaries(masks: Masks) -> Masks:
+    """The boundary of each mask."""
+    own, at = _ranges(masks.span * masks.rows)
+    m, n, span = masks.words, np.arange(len(own)), masks.span[own]
+    w = at % np.maximum(span, 1)
+    one, top = np.uint64(1), np.uint64(63)
+    beside = lambda words, step, there: np.where(there, words[np.clip(n + step, 0, max(len(n) - 1, 0))], np.uint64(0))
+    # Differences to the pixel on the right, where the page has one.
+    whole = np.clip(masks.width[own] - 1 - (masks.column[own] + w) * 64, 0, 64)
+    onward = np.where(whole == 64, ~np.uint64(0), (one << np.minimum(whole, 63).astype(np.uint64)) - one)
+    right = (m ^ (m >> one | beside(m, 1, w < span - 1) << top)) & onward
+    below = (m ^ beside(m, span, True)) * (at // np.maximum(span, 1) < masks.rows[own] - 1)
+    out = right | right << one | beside(right, -1, w > 0) >> top | below | beside(below, -span, at >= span)
+    return replace(masks, words=out, area=_sums(np.bitwise_count(out), masks.span * masks.rows))
+
+
+def common_area(masks: Masks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pixels that masks a and b of a page share, pair by pair."""
+    left, top = np.maximum(masks.column[a], masks.column[b]), np.maximum(masks.top[a], masks.top[b])
+    span = np.maximum(np.minimum(masks.column[a] + masks.span[a], masks.column[b] + masks.span[b]) - left, 0)
+    counts = span * np.maximum(np.minimum(masks.top[a] + masks.rows[a], masks.top[b] + masks.rows[b]) - top, 0)
+    parts = [np.zeros(0, np.int64)]
+    for of in _runs(counts, _CELLS):
+        pair, at = _ranges(counts[of])
+        pair += of.start
+        y, x = at // span[pair] + top[pair], at % span[pair] + left[pair]
+        one, other = (masks.words[masks.start[i] + (y - masks.top[i]) * masks.span[i] + x - masks.column[i]] for i in (a[pair], b[pair]))
+        parts.append(_sums(np.bitwise_count(one & other), counts[of]))
+    return np.concatenate(parts)
+
+
+def match_pages(points: np.ndarray, sizes: np.ndarray, page: np.ndarray, truth: np.ndarray, read: np.ndarray, width: np.ndarray, height: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Numbers of the truth and read polygons that each page's best one-to-one assignment by IoU pairs with at least `least`, and the metrics of the pairs.
+
+    page: ascending numbers of the polygons' pages, width and height by page; truth, read: polygons of each side, by page.
+    Masks keep to their windows and only those whose windows meet are compared, so a page costs what is drawn on it and not its own size a pair.
+    """
+    masks = draw_masks(points, sizes, width[page], height[page])
+    # Every truth with each read of its page, where their windows meet.
+    low, high = (np.searchsorted(page[read], page[truth], side=side) for side in ("left", "right"))
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for of in _runs(high - low, _CELLS):
+        own, at = _ranges((high - low)[of])
+        t, r = truth[own + of.start], read[at + low[own + of.start]]
+        meet = (masks.top[t] < masks.top[r] + masks.rows[r]) & (masks.top[r] < masks.top[t] + masks.rows[t]) & (masks.column[t] < masks.column[r] + masks.span[r]) & (masks.column[r] < masks.column[t] + masks.span[t])
+        found.append((t[meet], r[meet]))
+    t, r = (np.concatenate(side) for side in zip(*found, strict=True))
+    both = common_area(masks, t, r)
+    t, r, both = t[both > 0], r[both > 0], both[both > 0]
+    iou = both / (masks.area[t] + masks.area[r] - both + _EPS)
+    kept = best_pairs(t, r, iou)
+    kept = kept[iou[kept] >= least]
+    t, r = t[kept], r[kept]
+    return t, r, _pair_metrics(masks, boundaries(masks), t, r, both[kept].astype(float), (width * height)[page[t]])
+
+
+def _pair_metrics(masks: Masks, edges: Masks, truth: np.ndarray, read: np.ndarray, both: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """mask_metrics of pairs."""
+    p, t = masks.area[read].astype(float), masks.area[truth].astype(float)
+    none = size - p - t + both
+    edge = common_area(edges, truth, read).astype(float)
+    precision, recall = edge / (edges.area[read] + _EPS), edge / (edges.area[truth] + _EPS)
+    return {
+        "iou": both / (p + t - both + _EPS),
+        "dice": 2 * both / (p + t + _EPS),
+        "pixel_accuracy": (both + none) / size,
+        "mean_pixel_accuracy": (both / (t + _EPS) + none / (size - t + _EPS)) / 2,
+        "boundary_f1": 2 * precision * recall / (precision + recall + _EPS),
+        "region_coverage": np.divide(both, t, out=np.zeros_like(both), where=t != 0),
+    }
+
+
+def best_pairs(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b) of a one-to-one choice with the largest sum of gains, all above 0.
+
+    Each a takes its best b; where several want one, shortest augmenting paths from there on, which look no further than they must.
+    """
+    if not len(a):
+        return np.zeros(0, int)
+    order = np.lexsort((b, -gain, a))
+    heads = order[np.r_[True, a[order][1:] != a[order][:-1]]]
+    sole = np.bincount(b[heads], minlength=int(b.max()) + 1)[b[heads]] == 1
+    if sole.all():
+        return heads
+    # A group is what hangs together by pairs; those in which nobody's wish is another's are settled.
+    group = _joined(a, b)
+    open_ = np.isin(group, group[heads[~sole]])
+    rest = np.flatnonzero(open_)
+    return np.concatenate([heads[~open_[heads]], rest[_augmented(a[rest].tolist(), b[rest].tolist(), gain[rest].tolist())]])
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for all pairs that hang together."""
+    (left, x), (right, y) = (np.unique(v, return_inverse=True) for v in (a, b))
+    root = np.arange(len(left))
+    while True:
+        least = np.full(len(right), len(left))
+        np.minimum.at(least, y, root[x])
+        new = root.copy()
+        np.minimum.at(new, x, least[y])
+        new = new[new]
+        if (new == root).all():
+            return root[x]
+        root = new
+
+
+def _augmented(a: list[int], b: list[int], gain: list[float]) -> list[int]:
+    near: dict[int, list[tuple[int, float, int]]] = {}
+    for n, (i, j, g) in enumerate(zip(a, b, gain, strict=True)):
+        near.setdefault(i, []).append((j, g, n))
+    u = {i: max(g for _, g, _ in js) for i, js in near.items()}
+    v: dict[int, float] = {}
+    owner: dict[int, int] = {}
+    taken: dict[int, int] = {}  # pair of each a that has one
+    late = []
+    for i, js in near.items():
+        j, _, n = max(js, key=lambda e: e[1])
+        if j in owner:
+            late.append(i)
+        else:
+            owner[j], taken[i] = i, n
+    for first in late:
+        # Least loss to each b, and to leaving an a without one.
+        loss, via, done, heap = {}, {}, {}, []
+        i, at = first, 0.0
+        leave, leaver = u[first], first
+        while True:
+            for j, g, n in near[i]:
+                if j not in done:
+                    far = at + u[i] + v.get(j, 0.0) - g
+                    if far < loss.get(j, np.inf):
+                        loss[j], via[j] = far, (i, n)
+                        heapq.heappush(heap, (far, j))
+            while heap and (heap[0][1] in done or heap[0][0] > loss[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or leave <= heap[0][0]:
+                total, goal, i = leave, None, leaver
+                break
+            at, j = heapq.heappop(heap)
+            if j not in owner:
+                total, goal = at, j
+                break
+            done[j] = at
+            i = owner[j]
+            if at + u[i] < leave:
+                leave, leaver = at + u[i], i
+        u[first] -= total
+        for j, far in done.items():
+            v[j] = v.get(j, 0.0) + total - far
+            u[owner[j]] -= total - far
+        if goal is None:
+            # The one left out gives its b up.
+            if i == first:
+                continue
+            goal = b[taken.pop(i)]
+        while True:
+            i, n = via[goal]
+            before = taken.get(i)
+            owner[goal], taken[i] = i, n
+            if i == first:
+                break
+            goal = b[before]
+    return list(taken.values())
 
 
 def slabs(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[list[list[tuple[int, int]]]], np.ndarray]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,25 +165,58 @@ def match_boxes(truth: DataFrame, read: DataFrame, page: str, key: str, least: f
 def match_masks(polygons: DataFrame, page: str, least: float = 0.5, scale: int = 1) -> DataFrame:
     """Pairs of truth and read polygons of each page by mask IoU with all segmentation metrics; unmatched ones have a null partner.
 
-    polygons: page, k (long), is_truth, polygon. scale: pixels a mask cell.
+    polygons: page, k (long), is_truth, polygon. scale: pixels a mask cell. Pages stand behind one another in a task and are
+    matched by the Arrow batch, so that a page has no call of its own; one that is longer than a batch is put together.
     """
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        shapes = [np.array([(p["x"], p["y"]) for p in poly], float) / scale for poly in group["polygon"]]
-        width, height = (int(max(s[:, i].max() for s in shapes)) + 2 for i in (0, 1))
-        is_truth = group["is_truth"].to_numpy()
-        sides = {s: [shape for shape, t in zip(shapes, is_truth, strict=True) if t == s] for s in (True, False)}
-        keys = {s: group["k"].to_numpy()[is_truth == s] for s in (True, False)}
-        pairs, stray, missed = kernels.match_masks(sides[False], sides[True], width, height, least)
-        rows = [{"truth_key": keys[True][i], "read_key": keys[False][j], **m} for i, j, m in pairs]
-        rows += [{"read_key": keys[False][j]} for j in stray] + [{"truth_key": keys[True][i]} for i in missed]
-        out = pd.DataFrame(rows, columns=["truth_key", "read_key", *MASK_METRICS])
-        out.insert(0, page, group[page].iloc[0])
-        return out.astype({"truth_key": "Int64", "read_key": "Int64"})
+    rows = polygons.where(F.size("polygon") >= 3).select(page, F.col("k").cast("long").alias("k"), "is_truth", "polygon")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _page_starts(batch.column(0))
+            if held and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
+                yield _matched_pages(held, least, scale)
+                held = []
+            if starts[-1]:
+                yield _matched_pages([*held, batch.slice(0, starts[-1])], least, scale)
+                held = []
+            held.append(batch.slice(starts[-1]))
+        if held:
+            yield _matched_pages(held, least, scale)
 
     schema = f"{page} {polygons.schema[page].dataType.simpleString()}, truth_key long, read_key long, " + ", ".join(f"{m} double" for m in MASK_METRICS)
-    return polygons.where(F.size("polygon") >= 3).groupBy(page).applyInPandas(match, schema)
+    return rows.repartition(page).sortWithinPartitions(page, "k").mapInArrow(match, schema)
+
+
+def _page_starts(pages: pa.Array) -> np.ndarray:
+    """Rows at which a page begins, of pages that stand together; null is a page."""
+    codes = pages.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+
+
+def _matched_pages(batches: list[pa.RecordBatch], least: float, scale: int) -> pa.RecordBatch:
+    """Rows of match_masks for whole pages (page, k, is_truth, polygon), each by k."""
+    pages, k, is_truth, polygons = pa.Table.from_batches(batches).combine_chunks().to_batches()[0].columns
+    starts = _page_starts(pages)
+    page = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pages)]))
+    x, y = (polygons.flatten().field(i) for i in ("x", "y"))
+    if x.null_count or y.null_count or polygons.flatten().null_count:
+        raise ValueError("a point of a polygon is null")
+    points = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1) / scale
+    sizes = pc.list_value_length(polygons).to_numpy(zero_copy_only=False).astype(int)
+    ends = np.maximum.reduceat(np.maximum.reduceat(points, np.cumsum(sizes) - sizes), starts)
+    width, height = (np.maximum(ends[:, i].astype(int) + 2, 0) for i in (0, 1))
+    side = is_truth.to_numpy(zero_copy_only=False).astype(bool)
+    t, r, metrics = kernels.match_pages(points, sizes, page, np.flatnonzero(side), np.flatnonzero(~side), width, height, least)
+    alone = np.ones(len(side), bool)
+    alone[t] = alone[r] = False
+    alone = np.flatnonzero(alone)
+    key = lambda pair, own: k.take(pa.array(np.r_[pair, alone], mask=np.r_[np.zeros(len(pair), bool), side[alone] != own]))
+    no = np.r_[np.zeros(len(t), bool), np.ones(len(alone), bool)]
+    values = [pa.array(np.r_[metrics[m], np.zeros(len(alone))], mask=no) for m in MASK_METRICS]
+    return pa.RecordBatch.from_arrays([pages.take(pa.array(np.r_[t, alone])), key(t, True), key(r, False), *values], names=["page", "truth_key", "read_key", *MASK_METRICS])
 
 
 MASK_METRICS = ("iou", "dice", "pixel_accuracy", "mean_pixel_accuracy", "boundary_f1", "region_coverage")

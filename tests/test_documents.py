@@ -197,3 +197,19 @@ def test_png_and_crops(spark) -> None:
     polygons = spark.createDataFrame([("p", 1, [(0, 0), (0, 3), (3, 3), (3, 0)]), ("p", 2, [(50, 50), (50, 60), (60, 60)]), ("q", 3, [(0, 0), (0, 1), (1, 1)]), ("r", 4, None)], "page string, k int, polygon array<struct<x:int,y:int>>")
     got = {r["k"]: r["image"] for r in crops.crop_images(pages_, polygons).collect()}
     assert np.array_equal(png.decode(bytes(got[1])), image[:4, :4]) and got[2] is got[3] is got[4] is None
+
+
+def test_masks_of_pages(spark) -> None:
+    """A page longer than a batch, one whose name is null, one with reads only, and points of no page."""
+    square = lambda x, y: [(x, y), (x, y + 9), (x + 9, y + 9), (x + 9, y)]
+    rows = [("long", k, side, square(20 * k, 5 + (not side))) for k in range(40) for side in (True, False)]
+    rows += [(None, 1, True, square(0, 0)), (None, 2, False, square(1, 0)), ("reads", 1, False, square(0, 0)), ("short", 1, True, [(0, 0), (1, 1)]), ("short", 2, True, None)]
+    polygons = spark.createDataFrame(rows, "page string, k long, is_truth boolean, polygon array<struct<x int, y int>>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {(r["page"], r["truth_key"], r["read_key"]): r["iou"] for r in metrics.match_masks(polygons, "page").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(found) == {("long", k, k) for k in range(40)} | {(None, 1, 2), ("reads", None, 1)}
+    assert found["reads", None, 1] is None and all(abs(v - 9 / 11) < 1e-6 for k, v in found.items() if k[0] != "reads")
