@@ -205,4 +205,9 @@ def resolve(container: Container) -> DataFrame:
     return own.unionByName(container.aliases.join(place, "stored_id"))
 
 
-__all__ = ["BLOCK_BYTES", "Container", "canonical_boxes", "copies", "index_of", "lookup", "pack", "read", "record_index", "resolve", "restore", "write"]
+def packed_copies(container: Container) -> DataFrame:
+    """Files of the container whose bytes are not stored, because a file with a smaller id, found in its block, holds the same record."""
+    return resolve(container).where("stored_id < file_id").select("file_id")
+
+
+__all__ = ["BLOCK_BYTES", "Container", "canonical_boxes", "copies", "index_of", "lookup", "pack", "packed_copies", "read", "record_index", "resolve", "restore", "write"]

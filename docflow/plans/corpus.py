@@ -13,8 +13,8 @@ from docflow.sources.tables import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose record an earlier file already holds."""
-    return archive.copies(archive.record_index(table(spark, sf_dir, "label_files")))
+    """Files whose record an earlier file already holds: all records are packed, the container is written, and its copies are those with a place in its blocks."""
+    return archive.packed_copies(_container(spark, sf_dir))
 
 
 def _container(spark: SparkSession, sf_dir: str) -> archive.Container:

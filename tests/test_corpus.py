@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -219,3 +221,17 @@ def test_tables(spark) -> None:
 
 def test_queries(spark, sf_dir) -> None:
     assert all(q(spark, sf_dir).count() > 0 for q in corpus.QUERIES.values())
+
+
+def test_found_copies_come_from_a_written_container(spark, sf_dir) -> None:
+    from docflow.session import shared_dir
+
+    folder = Path(re.sub("^file:/*", "/", shared_dir(spark))) / "docflow"
+    before = set(folder.glob("archive-*"))
+    found = sorted(r["file_id"] for r in corpus.p4_found(spark, sf_dir).collect())
+    new = set(folder.glob("archive-*")) - before
+    assert len(new) == 1
+    container = archive.read(spark, str(new.pop()))
+    stored = {r["file_id"]: bytes(r["bytes"]).decode() for r in archive.restore(container.blocks).where("intact").collect()}
+    bodies = {r["file_id"]: r["body"] for r in corpus.table(spark, sf_dir, "label_files").where("body is not null").collect()}
+    assert found and found == sorted(set(bodies) - set(stored)) and all(bodies[i] == body for i, body in stored.items())
