@@ -909,8 +909,8 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT table_name AS stem FROM information_schema.tables""")
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files below the data folder by suffix."""
-    return files.list_files(spark, sf_dir, (".parquet",)).select(records.stem(F.col("path")).alias("stem"))
+    """Tables of the data folder by the suffix of its files, those in several parts once."""
+    return files.list_tables(spark, sf_dir)
 
 
 @query()

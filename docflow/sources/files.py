@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,10 +15,37 @@ from docflow.schema import PAGE
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """path, length, modificationTime of all files below path whose suffix is listed, spelled as listed. No content is read.
 
-    Sorted by path; the sort is a range exchange of paths only.
+    Names that begin with _ or ., which scans pass over, are listed too. Sorted by path; the sort is a range exchange of paths only.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return files.where(suffix(F.col("path")).isin(*suffixes)).orderBy("path")
+    files = files.where(suffix(F.col("path")).isin(*suffixes))
+    hidden = [f for f in _hidden_files(spark, path) if os.path.splitext(f[0].rsplit("/", 1)[-1])[1] in suffixes]
+    if hidden:
+        more = spark.createDataFrame(hidden, "path string, length long, ms long").select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+        files = files.union(more).dropDuplicates(["path"])  # scans do list some of these names, as _metadata
+    return files.orderBy("path")
+
+
+def _hidden_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """path, length and milliseconds of the files below path whose name, or a folder's on the way, begins with _ or a dot. Other files stay in the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, found, level = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), [], path.rstrip("/")
+    while level == path.rstrip("/") or fs.globStatus(at(level)):
+        for entry in fs.globStatus(at(f"{level}/[_.]*")) or []:
+            below = fs.listFiles(entry.getPath(), True)  # of a file, itself
+            while below.hasNext():
+                f = below.next()
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        level += "/[^_.]*"
+    return found
+
+
+def list_tables(spark: SparkSession, folder: str, kind: str = ".parquet") -> DataFrame:
+    """stem of every table of a folder: its entries with the suffix, each a file or a folder of such files, once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    entry = F.substring_index(F.expr(f"substring(path, {len(root) + 2})"), "/", 1)
+    return list_files(spark, folder, (kind,)).select(entry.alias("entry")).where(F.endswith("entry", F.lit(kind))).select(stem(F.col("entry")).alias("stem")).distinct()
 
 
 def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:

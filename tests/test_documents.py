@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import os
 
 import pytest
@@ -213,3 +214,20 @@ def test_masks_of_pages(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert set(found) == {("long", k, k) for k in range(40)} | {(None, 1, 2), ("reads", None, 1)}
     assert found["reads", None, 1] is None and all(abs(v - 9 / 11) < 1e-6 for k, v in found.items() if k[0] != "reads")
+
+
+def test_listing_is_whole(spark, tmp_path) -> None:
+    """Names that a scan passes over are files too, and a table in parts is one table."""
+    for name in ("t/_a.jpg", "t/.b.jpg", "t/.jpg", "t/c.jpg", "t/_d/e.jpg", "t/f/.g/_h/i.jpg", "t/f/j/_k.JPG", "t/f/_l.txt", "t/_m=1/n.jpg"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"xyz")
+    found = files.list_files(spark, str(tmp_path / "t")).collect()
+    assert [r["path"].split("/t/")[1] for r in found] == [".b.jpg", "_a.jpg", "_d/e.jpg", "_m=1/n.jpg", "c.jpg", "f/.g/_h/i.jpg", "f/j/_k.JPG"]
+    whole = {r["path"]: (r["length"], r["modificationTime"]) for r in found}
+    assert all(n == 3 for n, _ in whole.values()) and max(t for _, t in whole.values()) - min(t for _, t in whole.values()) < datetime.timedelta(minutes=5)
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "tables/parts.parquet"))
+    for name in ("_one", "two.v1"):
+        (tmp_path / f"tables/{name}.parquet").write_bytes(b"x")
+    spark.range(1).write.parquet(str(tmp_path / "tables/other"))
+    assert sorted(r["stem"] for r in files.list_tables(spark, str(tmp_path / "tables")).collect()) == ["_one", "parts", "two.v1"]
